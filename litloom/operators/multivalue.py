@@ -84,9 +84,9 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None) -> Dat
     Returns ``source, delim, n_rows, regularity, consistency, score``.
     ``regularity`` is the overlap of the shapes of a candidate's pieces with
     the shapes of texts that hold no strong candidate at all; ``consistency``
-    is 1 / (1 + variation) of the piece counts, where the variation is that of
-    the counts' logarithm.  Two partial aggregations; the result has at most
-    sources x candidates rows.  Null and empty texts do not count.
+    is 1 / (1 + standard deviation of the piece counts' logarithm).  One scan
+    with partial aggregation; the result has at most sources x candidates
+    rows.  Null and empty texts do not count.
     """
     src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
     base = df.select(src.alias("source"), _bare(blank_trim(F.col(text))).alias("t")).filter("t <> ''")
@@ -101,31 +101,33 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None) -> Dat
     cut = base.select("source", F.explode(F.filter(F.array(*parts, own), lambda x: x.isNotNull())).alias("x")).select(
         "source", "x.d", F.filter(F.transform("x.p", lambda p: F.trim(p)), lambda p: p != "").alias("p")
     )
-    pieces = cut.select("source", "d", F.explode("p").alias("p")).groupBy("source", "d", _shape(F.col("p")).alias("s")).count()
-    shares = pieces.withColumn("share", F.col("count") / F.sum("count").over(_win("source", "d")))
-    whole = shares.filter("d = ''").select("source", "s", F.col("share").alias("base"))
-    regular = (
-        shares.filter("d <> ''")
-        .join(whole, ["source", "s"], "left")
-        .groupBy("source", "d")
-        .agg(F.sum(F.least("share", F.coalesce("base", F.lit(0.0)))).alias("regularity"))
+    # One scan: the first piece of a row carries the row's own figures.
+    log_n = F.log(F.greatest(F.size("p"), F.lit(1)))
+    first = F.col("pos") == 0
+    shapes = (
+        cut.select("source", "d", log_n.alias("log_n"), F.posexplode("p"))
+        .groupBy("source", "d", _shape(F.col("col")).alias("s"))
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(first.cast("long")).alias("rows"),
+            F.sum(F.when(first, F.col("log_n"))).alias("sum_log"),
+            F.sum(F.when(first, F.col("log_n") * F.col("log_n"))).alias("sum_sq"),
+        )
     )
-    counts = (
-        cut.filter("d <> ''")
-        .groupBy("source", "d")
+    shares = shapes.withColumn("share", F.col("n") / F.sum("n").over(_win("source", "d")))
+    against = shares.withColumn("base", F.max(F.when(F.col("d") == "", F.col("share"))).over(_win("source", "s")))
+    mean = F.sum("sum_log") / F.sum("rows")
+    spread = F.sqrt(F.greatest(F.sum("sum_sq") / F.sum("rows") - mean * mean, F.lit(0.0)))
+    return (
+        against.filter(F.col("d").isin(*names))
+        .groupBy("source", F.col("d").alias("delim"))
         .agg(
-            F.count("*").alias("n_rows"),
-            (1 / (1 + F.stddev_pop(F.log(F.greatest(F.size("p"), F.lit(1)))))).alias("consistency"),
+            F.sum("rows").alias("n_rows"),
+            F.sum(F.least("share", F.coalesce("base", F.lit(0.0)))).alias("regularity"),
+            (1 / (1 + spread)).alias("consistency"),
         )
+        .withColumn("score", F.col("regularity") * F.col("consistency"))
     )
-    return counts.join(regular, ["source", "d"]).select(
-        "source",
-        F.col("d").alias("delim"),
-        "n_rows",
-        "regularity",
-        "consistency",
-        (F.col("regularity") * F.col("consistency")).alias("score"),
-    ).filter(F.col("d").isin(*names))
 
 
 def _win(*by):
