@@ -223,6 +223,40 @@ def protected_values(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
     )
 
 
+def add_values(
+    df: DataFrame,
+    columns: dict[str, str],
+    source: str | None = None,
+    joined: tuple[str, ...] = (),
+    dialects: dict[str, dict[str, Dialect]] | None = None,
+) -> DataFrame:
+    """``df`` with an array column of values per packed column: ``columns`` maps text to new name.
+
+    A null, empty or blank text gives an empty array.  Texts are read whole;
+    the split needs no shuffle.  Where a dialect has a weak delimiter, the
+    texts are looked up among the protected values (a distinct list).
+    """
+    src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    out = df
+    for i, (text, name) in enumerate(columns.items()):
+        how = (dialects or {}).get(text)
+        if how is None:
+            how = infer_delimiters(df, text, source, joined=text in joined)
+        t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        keep, probe = None, f"_whole{i}"
+        if any(x.weak for x in how.values()):
+            whole = _any_protected(df.select(src.alias("_s"), F.col(text).alias("_t")), how)
+            out = out.withColumn(
+                probe, F.when(t.contains(","), F.lower(F.regexp_replace(blank_trim(t), r"(?U)\s+", " ")))
+            ).join(whole.select(F.col("whole").alias(probe), F.lit(True).alias(f"_keep{i}")), probe, "left")
+            keep = F.coalesce(F.col(f"_keep{i}"), F.lit(False))
+        expr = values(t, Dialect(joined=text in joined))
+        for s, x in how.items():
+            expr = F.when(src == s, values(t, x, keep)).otherwise(expr)
+        out = out.withColumn(name, expr).drop(probe, f"_keep{i}")
+    return out
+
+
 def split_values(
     df: DataFrame,
     key: str,
@@ -230,37 +264,18 @@ def split_values(
     source: str | None = None,
     dialects: dict[str, Dialect] | None = None,
     joined: bool = False,
-    as_array: bool = False,
 ) -> DataFrame:
-    """One row per value: ``key, pos, val`` (or ``key, vals`` with ``as_array``).
+    """One row per value: ``key, pos, val``.
 
     pos starts at 1.  Null, empty and blank texts give no row; repeated rows
     give their values again; a text of one value gives that value.  Columns of
-    ``df`` beyond those named are ignored, whatever their names.  Texts are
-    read whole; the split needs no shuffle.  Only texts that hold a weak
-    delimiter and no strong one are joined with the protected values.
+    ``df`` beyond those named are ignored, whatever their names.
     """
-    src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
+    src = F.col(source).cast("string") if source else F.lit("")
     d = df.select(F.col(key).alias("_k"), src.alias("_s"), F.col(text).alias("_t"))
-    dialects = infer_delimiters(d, "_t", "_s", joined=joined) if dialects is None else dialects
-    d = d.filter("_t is not null and _t <> ''")
-    weak = any(x.weak for x in dialects.values())
-    keep = None
-    if weak:
-        whole = _any_protected(df.select(src.alias("_s"), F.col(text).alias("_t")), dialects)
-        probe = F.when(F.col("_t").contains(","), F.lower(F.regexp_replace(blank_trim(F.col("_t")), r"(?U)\s+", " ")))
-        d = d.withColumn("_w", probe).join(whole.select(F.col("whole").alias("_w"), F.lit(True).alias("_keep")), "_w", "left")
-        keep = F.coalesce(F.col("_keep"), F.lit(False))
-    default = Dialect(joined=joined)
-    expr = None
-    for s, x in dialects.items():
-        v = values(F.col("_t"), x, keep)
-        expr = F.when(F.col("_s") == s, v) if expr is None else expr.when(F.col("_s") == s, v)
-    other = values(F.col("_t"), default)
-    expr = other if expr is None else expr.otherwise(other)
-    if as_array:
-        return d.select(F.col("_k").alias(key), expr.alias("vals"))
-    return d.select(F.col("_k").alias(key), F.posexplode(expr).alias("pos", "val")).select(
+    how = None if dialects is None else {"_t": dialects}
+    d = add_values(d, {"_t": "_v"}, "_s", ("_t",) if joined else (), how)
+    return d.select(F.col("_k").alias(key), F.posexplode("_v").alias("pos", "val")).select(
         key, (F.col("pos") + 1).cast("long").alias("pos"), "val"
     )
 
