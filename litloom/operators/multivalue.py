@@ -34,6 +34,8 @@ CANDIDATES = (
     ("/", r"(?<!/)/(?!/)"),
     (":", r":\s"),
 )
+# Candidates that hardly occur inside a value.
+STRONG = (";", "|", "\n", "·", "//")
 # Particles that begin a family name in lower case.
 PARTICLES = "van|von|de|del|della|di|da|dos|der|den|la|le|el|al"
 QUOTED = r'"(?:[^"]++|"")*+"'
@@ -84,7 +86,8 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None) -> Dat
     Returns ``source, delim, n_rows, regularity, consistency, score``.
     ``regularity`` is the overlap of the shapes of a candidate's pieces with
     the shapes of texts that hold no strong candidate at all; ``consistency``
-    is 1 / (1 + standard deviation of the piece counts' logarithm).  One scan
+    falls with the standard deviation of the piece counts' logarithm and with
+    its distance from that of all strong candidates together.  One scan
     with partial aggregation; the result has at most sources x candidates
     rows.  Null and empty texts do not count.
     """
@@ -114,17 +117,30 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None) -> Dat
             F.sum(F.when(first, F.col("log_n") * F.col("log_n"))).alias("sum_sq"),
         )
     )
-    shares = shapes.withColumn("share", F.col("n") / F.sum("n").over(_win("source", "d")))
-    against = shares.withColumn("base", F.max(F.when(F.col("d") == "", F.col("share"))).over(_win("source", "s")))
+    # Texts without any strong candidate show what one value looks like; where
+    # there are hardly any, the pieces of the most frequent strong candidate do.
+    strong = F.col("d").isin(*STRONG)
+    sized = shapes.withColumn("d_rows", F.sum("rows").over(_win("source", "d")))
+    sized = sized.withColumn("share", F.col("n") / F.sum("n").over(_win("source", "d")))
+    ranked = sized.withColumn("singles", F.max(F.when(F.col("d") == "", F.col("d_rows"))).over(_win("source")))
+    ranked = ranked.withColumn("top", F.max(F.when(strong, F.struct("d_rows", "d"))).over(_win("source")))
+    few = F.greatest(F.col("top.d_rows") * 0.01, F.lit(10))
+    enough = F.coalesce(F.col("singles") >= few, F.col("top").isNull())
+    based = ranked.withColumn("model", F.when(enough, "").otherwise(F.col("top.d")))
+    based = based.withColumn(
+        "pool", F.sum(F.when(strong, F.col("sum_log"))).over(_win("source")) / F.sum(F.when(strong, F.col("rows"))).over(_win("source"))
+    )
+    against = based.withColumn("base", F.max(F.when(F.col("d") == F.col("model"), F.col("share"))).over(_win("source", "s")))
     mean = F.sum("sum_log") / F.sum("rows")
     spread = F.sqrt(F.greatest(F.sum("sum_sq") / F.sum("rows") - mean * mean, F.lit(0.0)))
+    off = F.abs(mean - F.coalesce(F.max("pool"), mean))
     return (
         against.filter(F.col("d").isin(*names))
         .groupBy("source", F.col("d").alias("delim"))
         .agg(
             F.sum("rows").alias("n_rows"),
             F.sum(F.least("share", F.coalesce("base", F.lit(0.0)))).alias("regularity"),
-            (1 / (1 + spread)).alias("consistency"),
+            (F.exp(-off) / (1 + spread)).alias("consistency"),
         )
         .withColumn("score", F.col("regularity") * F.col("consistency"))
     )
@@ -137,7 +153,7 @@ def _win(*by):
 
 
 def infer_delimiters(
-    df: DataFrame, text: str, source: str | None = None, least_score: float = 0.42, least_rows: float = 0.002, joined: bool = False
+    df: DataFrame, text: str, source: str | None = None, least_score: float = 0.33, least_rows: float = 0.002, joined: bool = False
 ) -> dict[str, Dialect]:
     """One ``Dialect`` per source from ``delimiter_scores``.
 
