@@ -1,3 +1,10 @@
 """litloom: a Spark-native engine for bibliometric and corpus analytics."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to executors carry their code along: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
