@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm import canonical, cooccurrence, items, term_counts
+from litloom.llm import canonical, consensus, cooccurrence, items, mixing, packing, term_counts, tokens, truncation
 from litloom.operators.multivalue import split_values
-from litloom.runtime import table
+from litloom.runtime import cut, table
 
 
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +55,93 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pairs(spark, sf_dir).select("item_kind", "item_a", "item_b")
 
 
-QUERIES = {"p4_found": p4_found, "p4_mapped": p4_mapped, "p5_found": p5_found, "p5_pairs": p5_pairs, "p7_found": p7_found, "p7_terms": p7_terms}
+# The labels of the codebook.
+LABELS = {
+    "orientation": ["technical", "pedagogical", "governance"],
+    "methodology": ["computational", "empirical", "conceptual"],
+}
+
+
+def _consensus(spark: SparkSession, sf_dir: str):
+    coding = table(spark, sf_dir, "taxonomy_coding")
+    votes = None
+    for dim, labels in LABELS.items():
+        v = consensus.latest_votes(coding, "paper_id", "coder_id", dim, "coded_at", "coding_id", labels)
+        v = v.select(F.lit(dim).alias("dim"), "item", "coder", "label")
+        votes = v if votes is None else votes.unionByName(v)
+    return consensus.spectral_consensus(votes, LABELS)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[0].select(F.col("item").alias("paper_id"), "dim", "label")
+
+
+def p6_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[0].withColumnRenamed("item", "paper_id")
+
+
+def p6_coders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[1]
+
+
+def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[2]
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cut(docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
+
+
+def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
+    return [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_capacities").collect()]  # four rows
+
+
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p8_packing(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "mix_targets").select("mix_id", "source", "target_share", "max_repeats").collect()  # 18 rows
+    return mixing.mix_sources(_sizes(spark, sf_dir), [tuple(r) for r in rows])
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents")).filter("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(truncation.truncated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_mapped": p4_mapped,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+    "p6_found": p6_found,
+    "p6_consensus": p6_consensus,
+    "p6_coders": p6_coders,
+    "p6_agreement": p6_agreement,
+    "p7_found": p7_found,
+    "p7_terms": p7_terms,
+    "p8_packing": p8_packing,
+    "p8_report": p8_report,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_sources": p10_sources,
+}
 ORACLES: dict[str, str] = {}
