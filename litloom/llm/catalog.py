@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.llm import canonical, consensus, cooccurrence, items, mixing, packing, term_counts, tokens, truncation
+from litloom.llm import canonical, consensus, cooccurrence, items, linkage, mixing, packing, survivors, term_counts, tokens, truncation
 from litloom.operators.multivalue import split_values
 from litloom.runtime import cut, table
 
@@ -20,6 +20,29 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_terms(spark, sf_dir).filter("band <> 'useful'").select("term", "band")
 
 
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "papers"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_survivors(spark, sf_dir).select("group_id", "field_name", "record_id")
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.duplicate_groups(table(spark, sf_dir, "papers"))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = linkage.wos_attributes(table(spark, sf_dir, "wos_cited"), "cite_id", "cr_line")
+    b = linkage.scopus_attributes(table(spark, sf_dir, "scopus_cited"), "cite_id", "ref_text")
+    return linkage.link(a, b)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("id_a"), F.col("id_b")
+    return p2_links(spark, sf_dir).select(F.least(a, b).alias("cite_id_a"), F.greatest(a, b).alias("cite_id_b"))
+
+
 def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value with its entry, how it was found and the score; ref_id -1 reports values without an entry."""
     papers, enriched = table(spark, sf_dir, "papers"), table(spark, sf_dir, "enriched_data")
@@ -127,6 +150,11 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_survivors": p1_survivors,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_links": p2_links,
     "p4_found": p4_found,
     "p4_mapped": p4_mapped,
     "p5_found": p5_found,
