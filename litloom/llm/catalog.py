@@ -20,12 +20,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_terms(spark, sf_dir).filter("band <> 'useful'").select("term", "band")
 
 
-def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.survivors(table(spark, sf_dir, "papers"))
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "papers")).select("group_id", "field_name", "record_id")
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_survivors(spark, sf_dir).select("group_id", "field_name", "record_id")
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "papers")
+    return survivors.merged_records(papers, survivors.survivors(papers))
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

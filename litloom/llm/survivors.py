@@ -169,34 +169,48 @@ def fit_quality(form: np.ndarray, k: np.ndarray, n: np.ndarray, weight: np.ndarr
 
 
 def surviving_values(rows: DataFrame, groups: DataFrame, name: str, source: str = "source_db", multi: bool = False, least: float = 0.5) -> DataFrame:
-    """``group_id, field_name, value, record_id, confidence`` of one field's survivors.
+    """``group_id, field_name, record_id, confidence`` of one field's survivors.
 
     Only groups of two rows or more.  ``record_id`` is the smallest of the rows
     that hold the value.  Null, blank and stand-in values are missing.  Where
     ``multi`` is set every value judged true survives, else the likeliest
-    (ties: more rows, then the longer, then the smaller value).  A group whose
+    (ties: more rows, then the longer, then the one of the smallest record_id).  A group whose
     likeliest value is judged altered (posterior below ``least``) has no row.
     """
     spark = rows.sparkSession
     v = F.col(name)
-    d = rows.select("record_id", F.coalesce(F.col(source), F.lit("")).alias("_s"), v.alias("v")).filter(_known(v)).join(groups, "record_id")
-    names = [r["_s"] for r in d.groupBy("_s").count().orderBy(F.desc("count")).limit(20).collect()]  # the twenty largest sources; others share one
+    # Texts stay where they are read: what moves is each value's hash, form and chunk hashes.
+    letters = norm_text(v)
+    d = rows.select(
+        "record_id",
+        F.coalesce(F.col(source), F.lit("")).alias("_s"),
+        v.alias("_v"),
+        F.xxhash64(v).alias("h"),
+        letters.alias("_t"),
+        _form(name, v).alias("form"),
+    ).filter(_known(F.col("_v")))
+    size = 8 if name == "title" else 32
+    chunks = F.transform(F.sequence(F.lit(1), F.length("_t"), F.lit(size)), lambda i: F.hash(F.substr(F.col("_t"), i, F.lit(size))))
+    d = d.select("record_id", "_s", "h", "form", F.length("_t").alias("letters"), F.when(F.length("_t") > 0, chunks).otherwise(F.array()).alias("chunks"))
+    several = groups.groupBy("group_id").count().filter("count >= 2").select("group_id")
+    d = d.join(groups.join(several, "group_id"), "record_id")
+    names = [r["source"] for r in rows.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).count().orderBy(F.desc("count"), "source").limit(20).collect()]  # the twenty largest sources; others share one
     if not names:
-        return spark.createDataFrame([], "group_id long, field_name string, value string, record_id long, confidence double")
+        return spark.createDataFrame([], "group_id long, field_name string, record_id long, confidence double")
     at = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("_s")), F.lit(0))
     slot = F.when(at > 0, at).otherwise(F.lit(len(names)))
-    facts = d.groupBy("group_id", "v").agg(F.min("record_id").alias("record_id"), *[F.count_if(slot == i + 1).alias(f"k{i}") for i in range(len(names))])
-    letters = norm_text(F.col("v"))
-    facts = cut(facts.withColumn("letters", F.length(letters)).withColumn("form", _form(name, F.col("v"))))
+    facts = d.groupBy("group_id", "h", "form", "letters", "chunks").agg(F.min("record_id").alias("record_id"), *[F.count_if(slot == i + 1).alias(f"k{i}") for i in range(len(names))])
+    facts = cut(facts)
     tops = facts.groupBy("group_id").agg(
-        F.max_by("v", F.struct("letters", "v")).alias("long_v"), F.count("*").alias("rivals"), *[F.sum(f"k{i}").alias(f"n{i}") for i in range(len(names))]
+        F.max(F.struct("letters", "h", "chunks")).alias("top"), F.count("*").alias("rivals"), *[F.sum(f"k{i}").alias(f"n{i}") for i in range(len(names))]
     )
     d = facts.join(tops, "group_id")
     if name != "doi":
-        # A value that another one continues was cut.
-        begins = (F.col("v") != F.col("long_v")) & norm_text(F.col("long_v")).startswith(letters) & (norm_text(F.col("long_v")) != letters)
+        # A value that another one continues was cut: all its whole chunks begin the longest value.
+        whole = F.floor(F.col("letters") / size).cast("int")
+        begins = (F.col("letters") < F.col("top.letters")) & (F.slice("chunks", F.lit(1), whole) == F.slice("top.chunks", F.lit(1), whole))
         d = d.withColumn("form", F.concat("form", F.when(begins, "begins ").otherwise("")))
-    d = d.drop("long_v")
+    d = d.drop("top", "chunks")
     ks, ns = [f"k{i}" for i in range(len(names))], [f"n{i}" for i in range(len(names))]
     # Counts beyond 15 say no more than 15: patterns stay few, however large a group is.
     top = F.greatest(*[F.col(x) for x in ns]) if len(ns) > 1 else F.col(ns[0])
@@ -220,10 +234,9 @@ def surviving_values(rows: DataFrame, groups: DataFrame, name: str, source: str
     )
     d = d.join(F.broadcast(scored), ["form", "contested", *ks, *ns]).filter(F.col("confidence") >= least)
     if not multi:
-        rank = F.struct(F.round("confidence", 9).alias("c"), sum(F.col(x) for x in ks).alias("k"), "letters", F.xxhash64("v").alias("h"))
-        d = d.groupBy("group_id").agg(F.max_by(F.struct("v", "record_id", "confidence"), rank).alias("b")).select("group_id", "b.*")
-    sizes = groups.groupBy("group_id").count().filter("count >= 2").select("group_id")
-    return d.join(sizes, "group_id").select("group_id", F.lit(name).alias("field_name"), F.col("v").alias("value"), "record_id", "confidence")
+        rank = F.struct(F.round("confidence", 9).alias("c"), sum(F.col(x) for x in ks).alias("k"), "letters", -F.col("record_id"))
+        d = d.groupBy("group_id").agg(F.max_by(F.struct("record_id", "confidence"), rank).alias("b")).select("group_id", "b.*")
+    return d.select("group_id", F.lit(name).alias("field_name"), "record_id", "confidence")
 
 
 def count_value(c: Column) -> Column:
@@ -242,13 +255,22 @@ def latest_count(rows: DataFrame, groups: DataFrame, name: str = "cited_by", at:
     top = d.groupBy("group_id").agg(F.max(F.struct("at", "n")).alias("t")).select("group_id", F.col("t.n").alias("n"))
     who = d.join(top, ["group_id", "n"]).groupBy("group_id", "n").agg(F.min("record_id").alias("record_id"))
     sizes = groups.groupBy("group_id").count().filter("count >= 2").select("group_id")
-    return who.join(sizes, "group_id").select("group_id", F.lit(name).alias("field_name"), F.col("n").cast("long").cast("string").alias("value"), "record_id", F.lit(1.0).alias("confidence"))
+    return who.join(sizes, "group_id").select("group_id", F.lit(name).alias("field_name"), "record_id", F.lit(1.0).alias("confidence"))
 
 
 def survivors(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Survivors of doi, title, abstract and cited_by of every group of two rows or more."""
+    """``group_id, field_name, record_id, confidence`` of doi, title, abstract and cited_by, for every group of two rows or more."""
     groups = cut(duplicate_groups(rows) if groups is None else groups)
     out = latest_count(rows, groups)
     for name in ("doi", "title", "abstract"):
         out = out.unionByName(surviving_values(rows, groups, name))
     return out
+
+
+def merged_records(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """One record per group: its surviving doi, title, abstract and cited_by (null where none survives)."""
+    fields = ("doi", "title", "abstract", "cited_by")
+    held = found.join(rows.select("record_id", *fields), "record_id")
+    pick = lambda f: F.max(F.when(F.col("field_name") == f, F.col(f))).alias(f)
+    out = held.groupBy("group_id").agg(*[pick(f) for f in fields])
+    return out.withColumn("cited_by", count_value(F.col("cited_by")).cast("long"))
