@@ -32,7 +32,7 @@ def kappa(pairs: DataFrame, labels: list[str]) -> DataFrame:
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """[A22] Counts of b's labels per label of a."""
     fixed = pairs.sparkSession.createDataFrame([(v,) for v in labels], "a string")
-    return fixed.join(pairs.groupBy("a").pivot("b", labels).agg(F.count("*")), "a", "left").fillna(0, labels)
+    return fixed.join(pairs.groupBy("a").pivot("b", labels).agg(F.count(F.lit(1))), "a", "left").fillna(0, labels)
 
 
 def disagreements(a: DataFrame, b: DataFrame, key: str, dims: list[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def group_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def crosstab(rows: DataFrame, row: str, column: str, labels: list, row_labels: list | None = None) -> DataFrame:
     """[A16-A18, M11] Counts per row value and label, zeros filled; ``row_labels`` fixes the rows."""
-    d = rows.groupBy(row).pivot(column, labels).agg(F.count("*"))
+    d = rows.groupBy(row).pivot(column, labels).agg(F.count(F.lit(1)))
     if row_labels is not None:
         fixed = rows.sparkSession.createDataFrame([(x,) for x in row_labels], f"{row} {dict(rows.dtypes)[row]}")
         d = fixed.join(d, row, "left")

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litloom.plans import packed
+from litloom.plans import packed, reference
 
-QUERIES = {
-    "p3_found": packed.p3_found,
-    "p3_delimiters": packed.p3_delimiters,
-}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p3_found": packed.p3_found, "p3_delimiters": packed.p3_delimiters, **reference.QUERIES}
+ORACLES: dict[str, str] = dict(reference.ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed.p3_found(spark, sf_dir)
+    """Keywords used together in two papers or more."""
+    return reference.keyword_cooccurrence(spark, sf_dir)
