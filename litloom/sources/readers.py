@@ -230,7 +230,7 @@ def probed(spark: SparkSession, probes: dict[str, Callable[[], float]]) -> DataF
 
 def read_bibtex(spark: SparkSession, paths: str) -> DataFrame:
     """[S14] ``file, kind, cite_key, fields``: records of BibTeX files, split in the JVM."""
-    d = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.explode(F.regexp_extract_all("value", F.lit(r"(?ms)^@(\w+\{.*?^\})"), F.lit(1))).alias("r"))
+    d = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.explode(F.regexp_extract_all("value", F.lit(r"(?ms)^@(\w+\{.*?^\})"), F.lit(1))).alias("r"))
     pairs = F.regexp_extract_all("r", F.lit(r"(?ms)^\s*(\w+)\s*=\s*\{.*?\}\s*,?\s*$"), F.lit(0))
     names = F.transform(pairs, lambda p: F.lower(F.regexp_extract(p, r"(\w+)\s*=", 1)))
     values = F.transform(pairs, lambda p: F.regexp_extract(p, r"(?s)=\s*\{(.*)\}\s*,?\s*$", 1))
