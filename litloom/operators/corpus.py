@@ -76,36 +76,73 @@ def label_map(rows: DataFrame, order: str = "record_id") -> DataFrame:
     return d.groupBy("key").agg(F.max_by("label", F.struct("o", -F.col("pos"))).alias("label"))
 
 
-def near_title_leaders(keys: DataFrame, key: str = "key", ratio: float = 0.93, prefix: int = 12) -> DataFrame:
+def _alike(new: str, old: str, match: difflib.SequenceMatcher, ratio: float) -> bool:
+    match.set_seq1(new)
+    match.set_seq2(old)
+    # Cheap upper bounds first; they never exclude a true match.
+    return match.real_quick_ratio() >= ratio and match.quick_ratio() >= ratio and match.ratio() >= ratio
+
+
+def near_title_leaders(keys: DataFrame, key: str = "key", ratio: float = 0.93, prefix: int = 12, block_keys: int = 2000) -> DataFrame:
     """[A5, M1] ``key, leader``: title keys led to the first earlier key they nearly equal.
 
     Keys that share their first ``prefix`` letters form a block; in order, a
     key joins the first leader whose matching ratio reaches ``ratio`` and else
-    becomes a leader itself.  The order makes a block sequential: it is one
-    task's work.  Only distinct keys without a DOI come here; empty input gives
-    no row.
+    becomes a leader itself.  A block of up to ``block_keys`` is one task's
+    work.  A larger one is compared in tiles of that size, spread over tasks
+    that return only keys that are alike, and its leaders then follow in
+    rounds: a key leads once all earlier keys like it are led.  The result is
+    the same.  Only distinct keys without a DOI come here; empty input gives no
+    row.
     """
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         leaders: list[str] = []
         out = []
+        match = difflib.SequenceMatcher(None, "", "")
         for k in sorted(pdf["key"]):
-            match = difflib.SequenceMatcher(None, "", "")
-            match.set_seq1(k)
-            found = None
-            for r in leaders:
-                match.set_seq2(r)
-                # Cheap upper bounds first; they never exclude a true match.
-                if match.real_quick_ratio() >= ratio and match.quick_ratio() >= ratio and match.ratio() >= ratio:
-                    found = r
-                    break
+            found = next((r for r in leaders if _alike(k, r, match, ratio)), None)
             if found is None:
                 leaders.append(k)
             out.append((k, found or k))
         return pd.DataFrame(out, columns=["key", "leader"])
 
+    def tile(name, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = name[1], name[2]
+        match = difflib.SequenceMatcher(None, "", "")
+        left, right = sorted(pdf.loc[pdf["t"] == x, "key"]), sorted(pdf.loc[pdf["t"] == y, "key"])
+        out = []
+        for i, p in enumerate(left):
+            for q in left[i + 1 :] if x == y else right:
+                old, new = min(p, q), max(p, q)
+                # Lengths alone bound the ratio by 2 min / (sum).
+                if 2 * min(len(p), len(q)) >= ratio * (len(p) + len(q)) and _alike(new, old, match, ratio):
+                    out.append((old, new))
+        return pd.DataFrame(out, columns=["old", "new"])
+
     d = keys.select(F.col(key).alias("key")).distinct().withColumn("block", F.substring("key", 1, prefix))
-    return d.groupBy("block").applyInPandas(lead, "key string, leader string")
+    sizes = d.groupBy("block").agg(F.count("*").alias("n"))
+    d = cut(d.join(sizes, "block"))
+    small = d.filter(F.col("n") <= block_keys).groupBy("block").applyInPandas(lead, "key string, leader string")
+    big = d.filter(F.col("n") > block_keys)
+    if not big.limit(1).count():
+        return small
+    tiles = F.ceil(F.col("n") / block_keys).cast("int")
+    t = big.withColumn("t", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    t = t.select("block", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "key", "t")
+    alike = cut(t.groupBy("block", "x", "y").applyInPandas(tile, "old string, new string"))
+    # Rounds: undecided (0), leader (1), led (2).
+    state = big.select("key", F.lit(0).alias("s"))
+    while True:
+        before = alike.join(state.select(F.col("key").alias("old"), "s"), "old").groupBy("new").agg(F.max((F.col("s") == 1).cast("int")).alias("led"), F.max((F.col("s") == 0).cast("int")).alias("open"))
+        step = state.join(before, F.col("key") == F.col("new"), "left")
+        s = F.when(F.col("s") > 0, F.col("s")).when(F.coalesce("led", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
+        state = cut(step.select("key", s.alias("s")))
+        if not state.filter("s = 0").limit(1).count():
+            break
+    first = alike.join(state.filter("s = 1").select(F.col("key").alias("old")), "old").groupBy("new").agg(F.min("old").alias("leader"))
+    led = state.join(first, F.col("key") == F.col("new"), "left").select("key", F.when(F.col("s") == 1, F.col("key")).otherwise(F.col("leader")).alias("leader"))
+    return small.unionByName(led)
 
 
 def dedup_groups(rows: DataFrame, order: str = "record_id", near: bool = True) -> DataFrame:

@@ -1,4 +1,5 @@
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,9 +33,13 @@ def test_groups_and_representatives(spark):
 
 def test_leaders_are_greedy_in_order(spark):
     titles = ["abcdefghijkl mnop qrst", "abcdefghijkl mnop qrsu", "abcdefghijkl mnop qrvv", "abcdefghijkl zzzz", "zzz"]
-    got = dict(corpus.near_title_leaders(spark.createDataFrame([(t,) for t in titles], "key string")).collect())
+    r = random.Random(5)
+    titles += ["abcdefghijkl " + "".join(r.choice("mn op") for _ in range(14)) for _ in range(60)]
+    keys = spark.createDataFrame([(t,) for t in titles], "key string")
+    got = dict(corpus.near_title_leaders(keys).collect())
+    assert dict(corpus.near_title_leaders(keys, block_keys=10).collect()) == got  # in tiles and rounds
     leaders = []
-    for t in sorted(titles):
+    for t in sorted(set(titles)):
         hit = next((x for x in leaders if x[:12] == t[:12] and difflib.SequenceMatcher(None, t, x).ratio() >= 0.93), None)
         if hit is None:
             leaders.append(t)
