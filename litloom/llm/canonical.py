@@ -37,6 +37,7 @@ WORD_FORMS = {
     "med": ("medical", "med"),
     "teachers": ("teachers", "teacher"),
 }
+GENERIC = frozenset((*WORD_FORMS, "state", "law"))  # words that don't tell institutions apart
 STOP = frozenset(("of", "the", "de", "la", "and", "for", "du", "da", "do", "der", "fur"))
 # Common short forms of keywords that initials alone leave ambiguous.
 SHORT_FORMS = {"ai": "artificial intelligence", "ip": "intellectual property", "llm": "large language models", "oa": "open access"}
@@ -229,7 +230,7 @@ def institution_matcher(entries: list[tuple[int, str]]) -> Matcher:
             df[w] = df.get(w, 0) + 1
     for i, name in entries:
         t = institution_tokens(name)
-        rare = min(range(len(t)), key=lambda k: df[t[k]]) if t else 0
+        rare = min(range(len(t)), key=lambda k: (t[k] in GENERIC, df[t[k]])) if t else 0
         rest = t[:rare] + t[rare + 1 :]
         short = [(t[rare], "".join(w[0] for w in rest))] if len(rest) >= 2 else []
         m.add(i, name, short)

@@ -111,6 +111,8 @@ def duplicate_groups(rows: DataFrame, least_shape_share: float = 0.05) -> DataFr
         + F.when(F.col("q_begin") == F.col("o_begin"), 3).when(F.col("q_begin").isNull() | F.col("o_begin").isNull(), 1).otherwise(0)
         + F.when(F.col("q_year") == F.col("o_year"), 2).when((F.col("q_year") == "") | (F.col("o_year") == ""), 1).otherwise(0)
     )
+    # A cut title alone says little: the abstract's beginning or the year must agree, or both be unknown.
+    pair = pair.filter(slip | (score >= 2))
     best = pair.groupBy("q_label").agg(F.min(F.struct((-score).alias("s"), F.col("o_label"))).alias("b")).select("q_label", F.col("b.o_label").alias("o_label"))
     named = F.concat_ws(">", "q_label", "o_label")
     more = best.select(F.explode(F.array("q_label", "o_label")).alias("id"), F.xxhash64(named).alias("key"))

@@ -117,7 +117,8 @@ def truncated(
     ends in mid-sentence and less than ``usual_share`` of its source's texts
     do, or if a closing line ends exactly at the source's field limit: the
     length, in characters or bytes, at which most of its unterminated texts
-    pile up (``least_pile`` or more, and five times their median per length).
+    pile up (``least_pile`` or more, and five times their median per length, or
+    half of all where the source usually ends its texts).
     Null, empty and blank texts are not cut.  A null source is a source of its
     own.  Equal texts get equal results in one source.  Whole texts are read.
     """
@@ -126,17 +127,20 @@ def truncated(
     # Read by four aggregations; the texts themselves are not kept.
     seen = cut(seen.select("_k", "_s", "_h", "_i.*"))
     loose = F.col("kind").isin("none", "ellipsis")
+    # The source's habit: its share of unterminated texts.
+    habit = seen.filter("kind <> 'empty'").groupBy("_s").agg(F.avg(loose.cast("int")).alias("loose_share")).withColumnRenamed("_s", "_s2")
     # Field limits: piles of unterminated texts per source and length.
     ends = seen.filter(loose).select("_s", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("size")))).alias("u"))
     sizes = ends.groupBy("_s", "u.unit", "u.size").agg(F.count("*").alias("n"))
     w = Window.partitionBy("_s", "unit")
-    tops = sizes.withColumn("usual", F.percentile_approx("n", F.lit(0.5)).over(w)).filter((F.col("n") >= least_pile) & (F.col("n") >= 5 * F.col("usual")))
+    tops = sizes.withColumn("usual", F.percentile_approx("n", F.lit(0.5)).over(w)).withColumn("all_n", F.sum("n").over(w))
+    tops = tops.join(habit, F.col("_s").eqNullSafe(F.col("_s2")))
+    half = (2 * F.col("n") >= F.col("all_n")) & (F.col("loose_share") <= usual_share)
+    tops = tops.filter((F.col("n") >= least_pile) & ((F.col("n") >= 5 * F.col("usual")) | half))
     limits = tops.groupBy("_s").agg(
         F.max(F.when(F.col("unit") == "chars", F.struct("n", "size"))).alias("c"), F.max(F.when(F.col("unit") == "bytes", F.struct("n", "size"))).alias("b")
     )
     limits = limits.select(F.col("_s").alias("_s1"), F.col("c.size").alias("limit_chars"), F.col("b.size").alias("limit_bytes"))
-    # The source's habit: its share of unterminated texts.
-    habit = seen.filter("kind <> 'empty'").groupBy("_s").agg(F.avg(loose.cast("int")).alias("loose_share")).withColumnRenamed("_s", "_s2")
     # Closing phrases: all unterminated ends with the same first two words run the same.
     tails = seen.filter(loose & (F.col("segment") != "")).groupBy("lead", "segment").agg(F.approx_count_distinct("_h").alias("n"))
     lead = tails.groupBy("lead").agg(F.sum("n").alias("all_n"), F.max(F.struct("n", "segment")).alias("top"))
