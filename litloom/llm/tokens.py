@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
+import base64
 import os
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-_loaded: dict = {}
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the byte-level vocabularies cut texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _load(path: str):
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Token counts of texts by a vocabulary file: ranks (.tiktoken), a sentence-piece model (.model) or a tokenizer's JSON."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _loaded[path] = t
-    return _loaded[path]
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
+    if path.endswith(".model"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of the whole text; 0 for a null or empty one.  ``tokenizer`` is the path of a tokenizer file."""
+    """Tokens of the whole text; 0 for a null or empty one.  ``tokenizer`` is the path of a vocabulary file."""
+
+    def count(parts):
+        sizes = counter(tokenizer)
+        for texts in parts:
+            vals = texts.fillna("").tolist()
+            out: list[int] = []
+            for i in range(0, len(vals), 256):
+                out += sizes(vals[i : i + 256])
+            yield pd.Series(out, dtype="int64")
 
-    def count(texts: pd.Series) -> pd.Series:
-        t = _load(tokenizer)
-        vals = texts.fillna("").tolist()
-        out: list[int] = []
-        for i in range(0, len(vals), 256):
-            out += [len(e.ids) for e in t.encode_batch(vals[i : i + 256], add_special_tokens=False)]
-        return pd.Series(out, dtype="int64")
+    from collections.abc import Iterator
 
+    count.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(count, "long")(text)

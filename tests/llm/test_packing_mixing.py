@@ -86,4 +86,7 @@ def test_token_counts(spark):
         pytest.skip("no tokenizer here")
     d = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("word " * 30000,)], "t string")
     n = [x[0] for x in d.select(tokens.token_count(d["t"])).collect()]
+    for other in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        m = [x[0] for x in d.select(tokens.token_count(d["t"], os.path.join(os.path.dirname(tokens.TOKENIZER), other))).collect()]
+        assert m[1] == m[2] == 0 and (m == n or other.endswith("model"))
     assert n[0] == 2 and n[1] == n[2] == 0 and n[3] > 1 and n[4] >= 30000
