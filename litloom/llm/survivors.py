@@ -41,7 +41,23 @@ def _known(c: Column) -> Column:
     return c.isNotNull() & ~blank_trim(c).rlike(STAND_INS)
 
 
-def duplicate_groups(rows: DataFrame, least_shape_share: float = 0.05) -> DataFrame:
+def _finer(keyed: DataFrame, most_pairs: int) -> DataFrame:
+    """Keys of large blocks made finer, so that no block forms all its pairs.
+
+    Two titles at most two letters apart share all but sixteen of their runs
+    of eight letters at most, hence one of the seventeen smallest run hashes of
+    each; a cut title and the whole one share the first 24 letters.
+    """
+    n = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("has_doi")).alias("m"))
+    hot = cut(n.filter(F.col("n") * F.col("m") > most_pairs).select("key", F.lit(True).alias("hot")))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 7, F.lit(1))), lambda i: F.xxhash64(F.substr(F.col("t"), i, F.lit(8))))
+    least = F.transform(F.slice(F.array_sort(F.array_distinct(runs)), 1, 17), lambda h: F.xxhash64("key", F.lit("run"), h))
+    fine = F.concat(least, F.array(F.xxhash64("key", F.lit("head"), F.substring("t", 1, 24))))
+    d = keyed.join(hot, "key", "left")
+    return d.withColumn("key", F.explode(F.when(F.col("hot"), fine).otherwise(F.array("key")))).drop("hot")
+
+
+def duplicate_groups(rows: DataFrame, least_shape_share: float = 0.05, most_pairs: int = 1_000_000) -> DataFrame:
     """``record_id, group_id``: group_id is the smallest record_id of the publication's rows.
 
     Rows join by equal DOI, by equal accession number (wos_ut), and by equal
@@ -93,7 +109,7 @@ def duplicate_groups(rows: DataFrame, least_shape_share: float = 0.05) -> DataFr
         F.when(F.col("journal").isNotNull(), F.xxhash64(F.lit("jh"), "journal", F.substring("t", 1, 28))),
         F.when(F.col("journal").isNotNull(), F.xxhash64(F.lit("jt"), "journal", F.substring("t", -28, 28))),
     )
-    keyed = forms.withColumn("key", F.explode(F.filter(block, lambda k: k.isNotNull())))
+    keyed = _finer(forms.withColumn("key", F.explode(F.filter(block, lambda k: k.isNotNull()))), most_pairs)
     cols = ["label", "t", "cut_title", "author", "begin", "year", "has_doi"]
     q = keyed.filter(~F.col("has_doi")).select("key", *[F.col(c).alias(f"q_{c}") for c in cols])
     o = keyed.select("key", *[F.col(c).alias(f"o_{c}") for c in cols])

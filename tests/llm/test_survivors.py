@@ -28,6 +28,12 @@ def test_groups_by_keys_slips_and_cuts(spark):
     assert all(g[i] == i for i in (11, 12, 13, 14, 15, 16))
 
 
+def test_large_blocks_lose_nothing(spark):
+    rows = many(30) + [row(5000 + i, title=f"Study number {i} of watermarks: results from the Zan{i}ka regio.", abstract=None) for i in range(30)] + [row(6000 + i, title=f"Study number {i} of watermarks: resul…") for i in range(30)]
+    d = spark.createDataFrame(rows, PAPER)
+    assert dict(survivors.duplicate_groups(d, most_pairs=0).collect()) == dict(survivors.duplicate_groups(d).collect())
+
+
 def test_different_dois_stay_apart(spark):
     g = groups(spark, [row(1, doi="10.98765/a.00.000001", title=TITLE), row(2, doi="10.98765/a.00.000002", title=TITLE.replace("law", "lww"))])
     assert g == {1: 1, 2: 2}
