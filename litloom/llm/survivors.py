@@ -50,6 +50,8 @@ def _finer(keyed: DataFrame, most_pairs: int) -> DataFrame:
     """
     n = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("has_doi")).alias("m"))
     hot = cut(n.filter(F.col("n") * F.col("m") > most_pairs).select("key", F.lit(True).alias("hot")))
+    if not hot.limit(1).count():
+        return keyed
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 7, F.lit(1))), lambda i: F.xxhash64(F.substr(F.col("t"), i, F.lit(8))))
     least = F.transform(F.slice(F.array_sort(F.array_distinct(runs)), 1, 17), lambda h: F.xxhash64("key", F.lit("run"), h))
     fine = F.concat(least, F.array(F.xxhash64("key", F.lit("head"), F.substring("t", 1, 24))))
