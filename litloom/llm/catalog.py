@@ -109,7 +109,24 @@ def p6_coders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consensus(spark, sf_dir)[2]
+    a = _consensus(spark, sf_dir)[2]
+    return a.select("dim", "n_pairs", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+def _label_sql(dim: str) -> str:
+    """Latest usable label per coder and paper: equal, an abbreviation, or within two edits."""
+    t = f"regexp_replace(lower({dim}), '[^a-z]', '', 'g')"
+    names = "[" + ", ".join(f"'{v}'" for v in LABELS[dim]) + "]"
+    one = lambda cond: f"CASE WHEN len(list_filter({names}, lambda v: {cond})) = 1 THEN list_filter({names}, lambda v: {cond})[1] END"
+    label = f"coalesce({one('v = t')}, {one('length(t) >= 3 AND starts_with(v, t)')}, {one('length(t) >= 5 AND levenshtein(v, t) <= 2')})"
+    inner = f"SELECT paper_id, coder_id, coded_at, coding_id, {label} AS label FROM (SELECT *, {t} AS t FROM taxonomy_coding)"
+    return f"SELECT '{dim}' AS dim, paper_id AS item, arg_max(label, epoch_us(coded_at)::HUGEINT * 1000000000 + coding_id) FILTER (label IS NOT NULL) AS label FROM ({inner}) GROUP BY paper_id, coder_id"
+
+
+AGREEMENT_SQL = f"""WITH v AS ({_label_sql('orientation')} UNION ALL {_label_sql('methodology')}), c AS (SELECT dim, item, label, count(*) AS c FROM v WHERE label IS NOT NULL GROUP BY 1, 2, 3),
+ i AS (SELECT dim, item, sum(c * (c - 1)) AS same, sum(c) AS t FROM c GROUP BY 1, 2), o AS (SELECT dim, (sum(t * (t - 1)) / 2)::BIGINT AS n_pairs, sum(same) / sum(t * (t - 1))::DOUBLE AS observed FROM i GROUP BY 1),
+ q AS (SELECT dim, label, sum(c) / (sum(sum(c)) OVER (PARTITION BY dim))::DOUBLE AS q FROM c GROUP BY 1, 2), e AS (SELECT dim, sum(q * q) AS expected FROM q GROUP BY 1)
+ SELECT dim, n_pairs, round(observed, 6)::DOUBLE AS observed, round(expected, 6)::DOUBLE AS expected, round((observed - expected) / (1 - expected), 6)::DOUBLE AS kappa FROM o JOIN e USING (dim)"""
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,4 +190,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_sources": p10_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p6_agreement": AGREEMENT_SQL}
