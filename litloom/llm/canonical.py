@@ -223,7 +223,7 @@ class Matcher:
 
 def institution_matcher(entries: list[tuple[int, str]]) -> Matcher:
     """Short forms: the distinctive word followed by the initials of the other words (X UT, X SU)."""
-    m = Matcher(institution_tokens, 0.8)
+    m = Matcher(institution_tokens, 0.9)
     df: dict[str, int] = {}
     for _, name in entries:
         for w in set(institution_tokens(name)):

@@ -74,7 +74,6 @@ def mix_sources(
     plan = plan_mixes(targets, {s: t for s, (t, _) in counted.items()}, total_tokens)
     if not plan:
         return spark.createDataFrame([], schema)
-    most = max(c for _, c in counted.values())
     rows = spark.createDataFrame(
         [(int(p["mix_id"]), p["source"], p["epochs"], float(p["want"]), p["block"], max(1, math.ceil(counted[p["source"]][1] / CHUNK))) for p in plan],
         "mix_id int, _s string, epochs int, want double, block long, buckets int",
@@ -112,7 +111,6 @@ def mix_sources(
     # The schedule has one slot more or less than a source's blocks; its last slot takes the blocks beyond.
     last = cut(ranked.groupBy("mix_id", "_s").agg(F.max(F.struct("rank", "slot")).alias("last")))
     got = blocks.join(F.broadcast(last), ["mix_id", "_s"]).withColumn("rank", F.least("rank", F.col("last.rank"))).join(ranked, ["mix_id", "_s", "rank"])
-    del most
     return got.select("mix_id", "slot", F.col("_s").alias("source"), F.col("_k").alias(key), (F.col("epoch") + 1).cast("int").alias("use_no"), F.col("_n").alias("n_tokens"))
 
 
