@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EMPTY = "array()"
-
 
 def _or_null(c: Column) -> Column:
     return F.when(c != "", c)

@@ -107,9 +107,3 @@ def median_split(rows: DataFrame, a: str, b: str, names: tuple[str, str, str, st
     d = rows.join(F.broadcast(m), F.lit(True))  # one row
     ha, hb = F.col(a) >= F.col("_ma"), F.col(b) >= F.col("_mb")
     return d.withColumn("quadrant", F.when(ha & hb, names[0]).when(hb, names[1]).when(ha, names[2]).otherwise(names[3])).drop("_ma", "_mb")
-
-
-def reset_matrix(rows: DataFrame, a: str, b: str, n: str) -> DataFrame:
-    """[U7] Every value of a with every value of b, zeros filled; both lists come from explode of collected distinct b."""
-    every = rows.select(a).distinct().join(F.broadcast(rows.agg(F.collect_set(b).alias("_b"))), F.lit(True)).select(a, F.explode("_b").alias(b))
-    return every.join(rows.select(a, b, n), [a, b], "left").withColumn(n, F.coalesce(n, F.lit(0)))
