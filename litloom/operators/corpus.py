@@ -264,3 +264,26 @@ def numbered(rows: DataFrame, order: str = "record_id", name: str = "seq_id", pr
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     got = ranged.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p")
     return got.withColumn(name, text.padded_id(F.col("_b") + F.col("_w"), prefix, width)).drop("_p", "_w", "_b")
+
+
+def with_abstracts(rows: DataFrame) -> DataFrame:
+    """Rows that have an abstract."""
+    return rows.filter(text.has_abstract(F.col("abstract")))
+
+
+def united(*tables: DataFrame, file_order: str | None = None) -> DataFrame:
+    """[U1] All rows of several exports as a bag, with ``source_rank`` for the order of the tables.
+
+    Columns that a table lacks are null.  With ``file_order`` the order within
+    a table is that column's; ties keep no order of their own.
+    """
+    out = None
+    for i, t in enumerate(tables):
+        d = t.withColumn("source_rank", F.lit(i)).withColumn("file_rank", F.col(file_order) if file_order else F.lit(None).cast("string"))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
+def reference_keys(rows: DataFrame) -> DataFrame:
+    """[J19] Keys of cited works: the column ``ref_keys`` where the table has one, else parsed from its references."""
+    return rows if "ref_keys" in rows.columns else with_references(rows)

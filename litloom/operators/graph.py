@@ -352,3 +352,9 @@ def callon(edges: DataFrame, members: DataFrame, counts: DataFrame, label_terms:
         (100.0 * F.coalesce("mean_outer", zero)).alias("mean_external"),
         F.array_join(F.transform("t", lambda x: x["id"].cast("string")), ", ").alias("label"),
     )
+
+
+def of_types(vertices: DataFrame, edges: DataFrame, *types: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices of the given types (gaps, for instance) and the edges whose two ends are such."""
+    keep = vertices.filter(F.col("type").isin(*types))
+    return keep, induced(edges, keep)

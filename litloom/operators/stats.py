@@ -107,3 +107,17 @@ def median_split(rows: DataFrame, a: str, b: str, names: tuple[str, str, str, st
     d = rows.join(F.broadcast(m), F.lit(True))  # one row
     ha, hb = F.col(a) >= F.col("_ma"), F.col(b) >= F.col("_mb")
     return d.withColumn("quadrant", F.when(ha & hb, names[0]).when(hb, names[1]).when(ha, names[2]).otherwise(names[3])).drop("_ma", "_mb")
+
+
+def search(rows: DataFrame, term: str, *columns: str) -> DataFrame:
+    """Rows of which a column contains the term, in any case; a blank term finds nothing."""
+    low = term.strip().lower()
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(F.col(c)).contains(low), F.lit(False))
+    return rows.filter(hit) if low else rows.limit(0)
+
+
+def distinct_in_order(rows: DataFrame, column: str) -> DataFrame:
+    """[T8, T9] The distinct values of a column in order, nulls left out."""
+    return rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)

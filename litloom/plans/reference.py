@@ -234,6 +234,25 @@ def running_ids(spark, sf_dir):
     return corpus.numbered(table(spark, sf_dir, "papers").select("record_id"))
 
 
+@query("SELECT record_id FROM papers WHERE abstract IS NOT NULL AND abstract <> '[No abstract available]'")
+def papers_with_abstract(spark, sf_dir):
+    """Papers that have an abstract."""
+    return corpus.with_abstracts(table(spark, sf_dir, "papers")).select("record_id")
+
+
+@query("SELECT source_rank, count(*) AS n FROM (SELECT 0 AS source_rank FROM papers WHERE source_db = 'Scopus' UNION ALL SELECT 1 FROM papers WHERE source_db = 'WoS') GROUP BY 1")
+def united_exports(spark, sf_dir):
+    """[U1] Rows of both exports as one bag."""
+    p = table(spark, sf_dir, "papers")
+    return corpus.united(p.filter("source_db = 'Scopus'"), p.filter("source_db = 'WoS'")).groupBy("source_rank").agg(F.count("*").alias("n"))
+
+
+@query("SELECT record_id FROM papers WHERE contains(lower(title), 'watermark') OR contains(lower(abstract), 'watermark')")
+def paper_search(spark, sf_dir):
+    """Papers whose title or abstract contains a word."""
+    return stats.search(table(spark, sf_dir, "papers"), " Watermark ", "title", "abstract").select("record_id")
+
+
 # --- Descriptive statistics --------------------------------------------------
 
 

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from litloom.operators import corpus
+from litloom.operators import corpus, stats
 
 PAPER = "record_id long, source_db string, doi string, title string, abstract string, author_keywords string, index_keywords string, document_type string, pub_year string, cited_by string, references_text string, cr_list array<string>"
 
@@ -87,3 +87,13 @@ def test_labels_last_row_first_in_row(spark):
     assert keys[1] == ["ay:smith|2010|j a"] * 2 and keys[3] == ["ay:leek|2011|a title that"]
     assert {r["key"]: r["label"] for r in corpus.label_map(d).collect()}["ay:smith|2010|j a"] == "Smith (2010)"
     assert d.filter(F.col("ref_keys").isNull()).count() == 0
+
+
+def test_unions_search_and_fallback(spark):
+    a, b = frame(spark, [paper(1, title="Alpha", abstract="x")]), spark.createDataFrame([(9, "Beta GAMMA")], "record_id long, title string")
+    u = corpus.united(a, b)
+    assert {(r["record_id"], r["source_rank"]) for r in u.collect()} == {(1, 0), (9, 1)} and corpus.with_abstracts(u).count() == 1
+    assert [r["record_id"] for r in stats.search(u, " gamma", "title", "abstract").collect()] == [9] and stats.search(u, " ", "title").count() == 0
+    given = u.withColumn("ref_keys", F.array(F.lit("k")))
+    assert corpus.reference_keys(given) is given and "ref_keys" in corpus.reference_keys(a).columns
+    assert [r[0] for r in stats.distinct_in_order(u, "title").collect()] == ["Alpha", "Beta GAMMA"]

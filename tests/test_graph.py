@@ -133,3 +133,10 @@ def test_small_graphs(spark):
     e, v = spark.createDataFrame([], "src long, dst long, weight long"), spark.createDataFrame([(1,)], "id long")
     assert graph.size_and_density(e, v).first()["density"] == 0.0 and graph.average_clustering(e, v).first()[0] == 0.0
     assert graph.components(e, v).first()["component"] == 1 and graph.louvain(e).count() == 0 and graph.eigenvector(e).count() == 0
+
+
+def test_types_keep_inner_edges(spark):
+    v = spark.createDataFrame([("a", "gap"), ("b", "gap"), ("c", "topic")], "id string, type string")
+    e = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "src string, dst string, weight long")
+    keep, inner = graph.of_types(v, e, "gap")
+    assert keep.count() == 2 and [(r["src"], r["dst"]) for r in inner.collect()] == [("a", "b")]
