@@ -120,14 +120,17 @@ def coherence(lists: DataFrame, words: list[list[str]], window: int = 110) -> fl
     return sum(scores) / max(1, len(scores))
 
 
-def lda_sweep(lists: DataFrame, ks=range(3, 6), min_df: int = 2, max_df: float = 0.9, passes: int = 5, final_passes: int = 10, seed: int = 42, top: int = 10):
-    """[M8, M9] ``(scores, topics)``: coherence per k, and the words of the best k fitted with more passes."""
+def lda_sweep(lists: DataFrame, ks=range(3, 16), min_df: int = 2, max_df: float = 0.9, passes: int = 20, final_passes: int = 30, seed: int = 42, top: int = 10):
+    """[M8, M9] ``(scores, topics)``: coherence per k, and the words of the best k fitted with more passes.
+
+    A pass draws as many texts as there are (Spark's own default is a twentieth).
+    """
     spark = lists.sparkSession
     cv = CountVectorizer(inputCol="words", outputCol="features", minDF=min_df, maxDF=max_df).fit(lists)
     data = cut(cv.transform(lists).select("words", "features"))
 
     def fit(k: int, n: int) -> list[list[str]]:
-        model = LDA(k=k, maxIter=n, seed=seed, optimizer="online").fit(data)
+        model = LDA(k=k, maxIter=n, seed=seed, optimizer="online", subsamplingRate=1.0).fit(data)
         return [[cv.vocabulary[i] for i in r["termIndices"]] for r in model.describeTopics(top).orderBy("topic").collect()]
 
     scores = [(k, coherence(lists, fit(k, passes))) for k in ks]

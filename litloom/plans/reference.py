@@ -746,9 +746,11 @@ def document_topic_years(spark, sf_dir):
 
 @query()
 def lda_coherence(spark, sf_dir):
-    """[M8-M10] Coherence of LDA models per number of topics."""
+    """[M8-M10] Coherence of LDA models per number of topics; the best one's topics, refitted, stand in its row."""
     lists = topics.token_lists(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text")
-    return topics.lda_sweep(cut(lists), range(3, 5), passes=2, final_passes=3)[0]
+    scores, words = topics.lda_sweep(cut(lists))
+    lines = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "line"))), lambda t: t["line"]).alias("topics"))
+    return scores.join(F.broadcast(lines), F.col("best"), "left")
 
 
 FEATURES = ["author_count", "is_oa", "is_article", "keyword_count"]

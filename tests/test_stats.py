@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from litloom.operators import agreement, countreg, coverage, similarity, stats, temporal, topics
+from litloom.plans import catalog
 from litloom.sources import readers, writers
 
 L = ["x", "y", "z"]
@@ -91,6 +92,14 @@ def test_topics_contract(spark):
     assert topics.coherence(lists, [["alpha", "beta"], ["delta", "zeta"]]) > topics.coherence(lists, [["alpha", "delta"], ["beta", "zeta"]])
 
 
+def test_lda_sweeps_all_sizes(spark, sf):
+    got = {r["k"]: r for r in catalog.QUERIES["lda_coherence"](spark, sf).collect()}
+    assert sorted(got) == list(range(3, 16))
+    best = [r for r in got.values() if r["best"]]
+    assert len(best) == 1 and best[0]["coherence"] == max(r["coherence"] for r in got.values())
+    assert len(best[0]["topics"]) == best[0]["k"] and all(r["topics"] is None for r in got.values() if not r["best"])
+
+
 def test_median_split_and_ranks(spark):
     d = spark.createDataFrame([(i, float(i), float(-i)) for i in range(4)], "k int, a double, b double")
     q = {r["k"]: r["quadrant"] for r in stats.median_split(d, "a", "b").collect()}
