@@ -733,7 +733,7 @@ def source_words(spark, sf_dir):
 @query()
 def document_topics(spark, sf_dir):
     """[M2, M4-M6] Topics of documents with outliers."""
-    lists = topics.token_lists(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text")
+    lists = topics.token_lists(table(spark, sf_dir, "documents"), "doc_id", "text")
     return topics.clusters(cut(topics.vectors(lists, "doc_id")), "doc_id")
 
 
@@ -747,7 +747,7 @@ def document_topic_years(spark, sf_dir):
 @query()
 def lda_coherence(spark, sf_dir):
     """[M8-M10] Coherence of LDA models per number of topics; the best one's topics, refitted, stand in its row."""
-    lists = topics.token_lists(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", "text")
+    lists = topics.token_lists(table(spark, sf_dir, "documents"), "doc_id", "text")
     scores, words = topics.lda_sweep(cut(lists))
     lines = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("topic", "line"))), lambda t: t["line"]).alias("topics"))
     return scores.join(F.broadcast(lines), F.col("best"), "left")

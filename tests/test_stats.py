@@ -92,6 +92,13 @@ def test_topics_contract(spark):
     assert topics.coherence(lists, [["alpha", "beta"], ["delta", "zeta"]]) > topics.coherence(lists, [["alpha", "delta"], ["beta", "zeta"]])
 
 
+def test_topics_cover_every_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r[0] for r in topics.token_lists(docs, "doc_id", "text").select("doc_id").collect()}
+    got = [r["doc_id"] for r in catalog.QUERIES["document_topics"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_lda_sweeps_all_sizes(spark, sf):
     got = {r["k"]: r for r in catalog.QUERIES["lda_coherence"](spark, sf).collect()}
     assert sorted(got) == list(range(3, 16))
