@@ -288,7 +288,8 @@ def louvain(edges: DataFrame, seed: int = 42, resolution: float = 1.0, most_loca
     larger one is first coarsened by distributed synchronous moves (each vertex
     joins the neighbouring community of largest gain, only towards a smaller
     label in odd and a larger one in even sweeps, which keeps pairs from
-    swapping), and the coarse graph then goes the same way.
+    swapping), and the coarse graph then goes the same way.  Where nothing
+    merges any more, the partition reached is the result, whatever its size.
     """
     spark = edges.sparkSession
     e = cut(simple(edges))
@@ -301,8 +302,11 @@ def louvain(edges: DataFrame, seed: int = 42, resolution: float = 1.0, most_loca
         s, d = com.select(F.col("id").alias("src"), F.col("c").alias("cs")), com.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
         coarse = e.join(s, "src").join(d, "dst").select(F.col("cs").alias("src"), F.col("cd").alias("dst"), "weight")
         n0, n1 = com.count(), com.select("c").distinct().count()
-        upper = components(coarse).select("id", F.col("component").alias("community")) if n1 > 0.95 * n0 else louvain(coarse, seed, resolution, most_local, sweeps)
-        members = com.join(upper.select(F.col("id").alias("c"), F.col("community").cast("string").alias("up")), "c").select("id", F.col("up").alias("c"))
+        if n1 == n0:  # nothing merges any more: the vertices are the communities
+            members = com.select("id", F.col("c").cast("string").alias("c"))
+        else:
+            upper = cut(louvain(coarse, seed, resolution, most_local, sweeps))
+            members = com.join(upper.select(F.col("id").alias("c"), F.col("community").cast("string").alias("up")), "c").select("id", F.col("up").alias("c"))
     sizes = members.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     ranked = sizes.select("c", (F.row_number().over(Window.orderBy(F.desc("n"), "low")) - 1).cast("int").alias("community"))
     return members.join(ranked, "c").select("id", "community")

@@ -100,6 +100,13 @@ def test_louvain_finds_planted_groups(spark):
         assert q > 0.5 and (most == 10 or (len(by) == 4 and all(len(v) == 1 for v in by.values())))
 
 
+def test_louvain_keeps_its_partition_when_moves_stall(spark, monkeypatch):
+    steps = iter(["id div 8", "id"])  # one pass that finds the groups, one that merges nothing
+    monkeypatch.setattr(graph, "_moves", lambda e, *_: graph.degrees(e).selectExpr("id", f"{next(steps)} as c"))
+    got = graph.louvain(frame(spark, planted()), most_local=3).collect()
+    assert len(got) == 32 and len({(r["id"] // 8, r["community"]) for r in got}) == len({r["community"] for r in got}) == 4
+
+
 def test_modularity_bounds(spark):
     e = frame(spark, planted())
     one = graph.degrees(e).selectExpr("id", "0 as community")
