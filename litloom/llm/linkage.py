@@ -9,6 +9,8 @@ non-matches.  The posterior is a pair's confidence.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,27 +115,17 @@ def _keys(d: DataFrame) -> DataFrame:
     return d.withColumn("key", F.explode(F.filter(keys, lambda x: x.isNotNull())))
 
 
-def _finer(d: DataFrame, hot: DataFrame, left: bool) -> DataFrame:
-    """Keys of large blocks made finer: ``key, cls``.
+def _tiled(d: DataFrame, hot: DataFrame, left: bool) -> DataFrame:
+    """Keys of large blocks split into tiles: ``key, cls``.
 
-    Within such a block two entries are compared if their pages are equal, or
-    if a page is unknown and the volumes are equal or one is unknown.  Entries
-    that lack both are few: within a block their other attributes hardly vary
-    and equal entries are one class.
+    A class of one list stands in one row (or column) of its block's tiles and
+    is sent to every tile of it, so each pair meets in exactly one tile.
     """
-    p, v = F.col("page"), F.col("volume")
-    no_p, no_v = p.isNull(), v.isNull()
-    tag = lambda name, ok, *x: F.when(ok, F.xxhash64("key", F.lit(name), *x))
-    every = F.lit(True)
-    mine, theirs = ("1", "2") if left else ("2", "1")
-    fine = F.array(
-        tag("page", ~no_p, p),
-        tag("volume" + mine, no_p & ~no_v, v), tag("volume" + theirs, ~no_v, v),
-        tag("none" + mine, no_p & no_v), tag("none" + theirs, every),
-        tag("half" + mine, no_p), tag("half" + theirs, no_v),
-    )
-    d = d.join(hot.withColumn("hot", F.lit(True)), "key", "left")
-    keys = F.when(F.col("hot"), F.filter(fine, lambda x: x.isNotNull())).otherwise(F.array("key"))
+    d = d.join(hot, "key", "left")
+    own, other = ("rows", "columns") if left else ("columns", "rows")
+    at = F.pmod(F.xxhash64("cls"), F.col(own))
+    tile = (lambda x: F.xxhash64("key", at, x)) if left else (lambda x: F.xxhash64("key", x, at))
+    keys = F.when(F.col(own).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col(other) - 1), tile)).otherwise(F.array("key"))
     return d.select(F.explode(keys).alias("key"), "cls")
 
 
@@ -199,9 +191,9 @@ def link(a: DataFrame, b: DataFrame, least: float = 0.5, most_pairs: int = 1_000
     """``id_a, id_b, confidence`` of the entries that denote the same thing.
 
     ``a`` and ``b`` come from ``*_attributes``.  All pairs that share a
-    blocking key are compared (blocks of more than ``most_pairs`` pairs by finer
-    keys that lose no pair with a page or volume in common); equal entries of one list are compared once, as
-    a class, and expanded at the end.  Where an entry has several partners
+    blocking key are compared (blocks of more than ``most_pairs`` pairs in tiles
+    of about that many, with the same result); equal entries of one list are
+    compared once, as a class, and expanded at the end.  Where an entry has several partners
     whose pages contradict one another, the best page stays (ties: all).
     Entries without any attribute match nothing; an empty list gives no row.
     """
@@ -210,11 +202,13 @@ def link(a: DataFrame, b: DataFrame, least: float = 0.5, most_pairs: int = 1_000
     cb, mb = classes(b)
     ca, cb = cut(ca), cut(cb)
     cols = ["cls", "surname", "initials", "year", "volume", "page", "jw"]
-    ka, kb = _keys(ca).select("key", "cls", "page", "volume"), _keys(cb).select("key", "cls", "page", "volume")
+    ka, kb = _keys(ca).select("key", "cls"), _keys(cb).select("key", "cls")
     sizes = ka.groupBy("key").agg(F.count("*").alias("n")).join(kb.groupBy("key").agg(F.count("*").alias("m")), "key")
-    hot = cut(sizes.filter(F.col("n") * F.col("m") > most_pairs).select("key"))
+    side = max(1, math.isqrt(most_pairs))
+    tiles = [F.ceil(F.col(c) / side).alias(name) for c, name in (("n", "rows"), ("m", "columns"))]
+    hot = cut(sizes.filter(F.col("n") * F.col("m") > most_pairs).select("key", *tiles))
     if hot.limit(1).count():
-        ka, kb = _finer(ka, hot, True), _finer(kb, hot, False)
+        ka, kb = _tiled(ka, hot, True), _tiled(kb, hot, False)
     ka, kb = ka.select("key", F.col("cls").alias("a_cls")), kb.select("key", F.col("cls").alias("b_cls"))
     pairs = ka.join(kb, "key").select("a_cls", "b_cls").distinct()
     fa = ca.select(*[F.col(c).alias(f"a_{c}") for c in cols])

@@ -47,6 +47,15 @@ def test_links_noisy_entries_and_repeats(spark):
     assert ((1, 1001) in got) == ((241, 1001) in got)
 
 
+def test_large_blocks_keep_slipped_pages(spark):
+    ids = works(120, seed=5)
+    ws = [f"{a} {f}, {y}, {short}, V{v}, P{p}" for a, f, y, _, short, v, p in ids]
+    ss = [f"{a} {f}., A title of {i}, {full}, {v}, pp. {p + (i % 4 == 0)}-{p + 9}, ({y})" for i, (a, f, y, full, _, v, p) in enumerate(ids)]
+    whole = {tuple(x) for x in linkage.link(wos(spark, ws), scopus(spark, ss), least=0.0).select("id_a", "id_b").collect()}
+    tiled = {tuple(x) for x in linkage.link(wos(spark, ws), scopus(spark, ss), least=0.0, most_pairs=0).select("id_a", "id_b").collect()}
+    assert tiled == whole and sum((i + 1, i + 1001) in whole for i in range(0, 120, 4)) > 20
+
+
 def test_em_on_patterns():
     rng = np.random.default_rng(0)
     match = np.where(rng.random((600, 6)) < 0.9, 3, 1)
