@@ -22,21 +22,37 @@ from pyspark.sql import functions as F
 WEIGHTS = (1.0, 0.1, 0.1)  # tokens, documents, attention cost
 
 
+def _closest(mask: int, back: int, left: dict[int, int], capacity: int, room: int) -> int:
+    """The longest of the one or two waiting lengths that leave least of ``room``; ``back`` has bit capacity - n for every n of ``mask``."""
+    longest = (mask & ((1 << (room + 1)) - 1)).bit_length() - 1
+    for t in range(min(room, 2 * longest), 0, -1):
+        if mask >> t & 1:
+            return t
+        pair = mask & (back >> (capacity - t))  # lengths n with t - n waiting too
+        n = pair.bit_length() - 1
+        if pair and (2 * n != t or left[n] > 1):
+            return n
+    return 0
+
+
 def pack_lengths(counts: dict[int, int], capacity: int, max_docs: int, max_cost: float, rule: str = "residual", weights=WEIGHTS) -> list[list[int]]:
     """Containers as lists of lengths; every length is at most ``capacity``."""
     left = {n: c for n, c in counts.items() if c}
-    mask = 0
+    mask = back = 0
     for n in left:
         mask |= 1 << n
+        back |= 1 << (capacity - n)
     wt, wd, wa = weights
+    bound = max_docs < capacity or max_cost < capacity**2  # else tokens run out first, whatever the lengths
     out = []
 
     def take(n: int) -> None:
-        nonlocal mask
+        nonlocal mask, back
         left[n] -= 1
         if not left[n]:
             del left[n]
             mask &= ~(1 << n)
+            back &= ~(1 << (capacity - n))
 
     while mask:
         first = mask.bit_length() - 1  # the longest opens the container, alone if need be
@@ -46,22 +62,23 @@ def pack_lengths(counts: dict[int, int], capacity: int, max_docs: int, max_cost:
             fit = mask & ((1 << (min(rt, math.isqrt(int(ra))) + 1)) - 1)
             if not fit:
                 break
-            best, score, seen = 0, None, 0
-            while fit and seen < 6:  # the longest fitting lengths; shorter ones score less
+            best, score = 0, None
+            if rule != "dot" and not bound:
+                best, fit = _closest(mask, back, left, capacity, rt), 0
+            while fit:
                 n = fit.bit_length() - 1
                 fit ^= 1 << n
-                seen += 1
                 if rule == "dot":
                     s = -(wt * rt * n / capacity**2 + wd * rd / max_docs**2 + wa * ra * n * n / max_cost**2)
                 else:
                     rest = rt - n
                     if rest and rd > 1:
-                        rest -= (mask & ((1 << (rest + 1)) - 1)).bit_length() - 1 if mask & ((1 << (rest + 1)) - 1) else 0
+                        others = mask if left[n] > 1 else mask & ~(1 << n)
+                        more = others & ((1 << (min(rest, math.isqrt(int(ra - n * n))) + 1)) - 1)
+                        rest -= more.bit_length() - 1 if more else 0
                     s = wt * (rest / capacity) ** 2 + (wd * ((rd - 1) / max_docs) ** 2 + wa * ((ra - n * n) / max_cost) ** 2) * 1e-3
                 if score is None or s < score:
                     best, score = n, s
-                    if rule != "dot" and rest == 0:
-                        break
             take(best)
             bin_.append(best)
             rt, rd, ra = rt - best, rd - 1, ra - best * best

@@ -40,6 +40,13 @@ def test_every_constraint_binds():
     assert all(sum(x * x for x in b) <= 2600 for b in got) and sum(map(len, got)) == 14
 
 
+def test_short_lengths_that_fit_exactly_are_seen():
+    waiting = {100: 1, 95: 1, 94: 1, 93: 1, 92: 1, 91: 1, 90: 1, 60: 1, 40: 1}
+    assert packing.pack_lengths(waiting, 200, 200, 200.0**2)[0] == [100, 60, 40]
+    assert packing.pack_lengths(waiting, 200, 150, 200.0**2)[0] == [100, 60, 40]  # every length scored
+    assert packing.pack_lengths({100: 1, 50: 1, 49: 1, 48: 1}, 200, 200, 200.0**2)[0] == [100, 50, 49]  # 50 is there once
+
+
 def test_nothing_to_pack(spark):
     assert packing.pack(sizes(spark, []), [(1, 10)]).count() == 0 and packing.pack(sizes(spark, [(1, "s", 5, 1, 1)]), []).count() == 0
 
