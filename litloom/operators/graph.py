@@ -133,7 +133,7 @@ def peripheral(edges: DataFrame, vertices: DataFrame, k: int = 10) -> DataFrame:
     return degree_centrality(edges, vertices).orderBy("centrality", "id").limit(k)
 
 
-def eigenvector(edges: DataFrame, steps: int = 100, tol: float = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, steps: int = 500, tol: float = 1e-6) -> DataFrame:
     """[G15] ``id, centrality`` by power iteration of the weighted adjacency plus identity; length 1; 0 where it doesn't settle."""
     e = cut(both_ways(edges))
     x = cut(e.select(F.col("a").alias("id")).distinct().withColumn("v", F.lit(1.0)))

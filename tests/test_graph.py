@@ -83,6 +83,12 @@ def test_eigenvector_of_a_star(spark):
     assert abs(got[0] - 2**-0.5) < 1e-3 and abs(got[1] - 8**-0.5) < 1e-3
 
 
+def test_eigenvector_that_settles_slowly(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (2, 3, 0.85)], "src long, dst long, weight double").coalesce(1)
+    got = {r["id"]: r["centrality"] for r in graph.eigenvector(e).collect()}  # more than 100 steps
+    assert abs(got[0] - 2**-0.5) < 1e-3 and abs(got[2]) < 1e-3
+
+
 def planted(groups=4, size=8, seed=1):
     r = random.Random(seed)
     ids = range(groups * size)
