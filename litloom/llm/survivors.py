@@ -235,6 +235,7 @@ def surviving_values(rows: DataFrame, groups: DataFrame, name: str, source: str
     # Counts beyond 15 say no more than 15: patterns stay few, however large a group is.
     top = F.greatest(*[F.col(x) for x in ns]) if len(ns) > 1 else F.col(ns[0])
     scale = F.when(top > 15, F.lit(15.0) / top).otherwise(F.lit(1.0))
+    d = d.withColumn("held", sum(F.col(x) for x in ks))  # before scaling: ties go by real counts
     d = d.withColumns({x: F.ceil(F.col(x) * scale).cast("int") for x in ks + ns}).withColumn("contested", F.col("rivals") > 1)
     # Rare forms are one: there is nothing to learn about each of them.
     common = {r["form"] for r in d.groupBy("form").count().orderBy(F.desc("count")).limit(60).collect()}
@@ -254,7 +255,7 @@ def surviving_values(rows: DataFrame, groups: DataFrame, name: str, source: str
     )
     d = d.join(F.broadcast(scored), ["form", "contested", *ks, *ns]).filter(F.col("confidence") >= least)
     if not multi:
-        rank = F.struct(F.round("confidence", 9).alias("c"), sum(F.col(x) for x in ks).alias("k"), "letters", -F.col("record_id"))
+        rank = F.struct(F.round("confidence", 9).alias("c"), F.col("held").alias("k"), "letters", -F.col("record_id"))
         d = d.groupBy("group_id").agg(F.max_by(F.struct("record_id", "confidence"), rank).alias("b")).select("group_id", "b.*")
     return d.select("group_id", F.lit(name).alias("field_name"), "record_id", "confidence")
 

@@ -87,3 +87,10 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, f"c{i}") for i in range(1, 80)] + [(i + 1, f"c{i}") for i in range(1, 80)] + [(i, "hub") for i in range(200, 400)] + [(999, "own")]
     got = dict(components(spark.createDataFrame([(i,) for i in [*range(1, 81), *range(200, 400), 999]], "id long"), spark.createDataFrame(links, "id long, key string")).collect())
     assert {got[i] for i in range(1, 81)} == {1} and {got[i] for i in range(200, 400)} == {200} and got[999] == 999
+
+
+def test_real_counts_break_ties(spark):
+    values = ["A study of things and words"] * 52 + ["A study of things and longer words"] * 48
+    rows = spark.createDataFrame([(i, "one", v) for i, v in enumerate(values)], "record_id long, source_db string, title string")
+    groups = rows.selectExpr("record_id", "0L as group_id")
+    assert [r["record_id"] for r in survivors.surviving_values(rows, groups, "title", least=0.0).collect()] == [0]
