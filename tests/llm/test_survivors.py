@@ -34,6 +34,31 @@ def test_large_blocks_lose_nothing(spark):
     assert dict(survivors.duplicate_groups(d, most_pairs=0).collect()) == dict(survivors.duplicate_groups(d).collect())
 
 
+def test_no_key_of_like_titles_forms_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    head, tail = "On the reception of generated essays in", "the law schools of the north"
+    rows = [(i, f"{head} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} district {tail}", False, "lee", "jtests", None if i % 3 else f"text {i}", str(2000 + i % 20), i % 2 == 0) for i in range(4000)]
+    d = spark.createDataFrame([(*r[:1], "".join(x for x in r[1].lower() if x.isalnum()), *r[2:]) for r in rows], "label long, t string, cut_title boolean, author string, journal string, begin string, year string, has_doi boolean")
+    keyed = survivors.blocked(d, 100_000)
+    most = keyed.groupBy("key").agg((F.count_if("is_q") * F.count_if("is_o")).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 150_000  # tiles of 316 x 316 by hash
+    assert survivors.blocked(d, 10_000_000).groupBy("key").agg((F.count_if("is_q") * F.count_if("is_o")).alias("n")).agg(F.max("n")).first()[0] == 2000 * 4000
+
+
+def test_rows_without_author_or_long_title(spark):
+    g = groups(spark, [row(1, author=None), row(2, author=None), row(3, author=None, year="2019"), row(4, title="Editorial"), row(5, title="EDITORIAL."), row(6, title="Editorial", year="2019"), row(7, title="Editorial", abstract=None), row(8, title="Editorial", abstract=None)])
+    assert g[2] == 1 and g[5] == 4 and g[6] == 6 and g[7] == 7 and g[8] == 8
+
+
+def test_rare_doi_forms_join_unless_cut(spark):
+    rows = [row(i, doi=f"10.98765/a.00.{i:06d}", title=f"An altogether different title number {i} here") for i in range(1, 60)]
+    rows += [row(100, doi="10.5/zz", title="Alpha and its uses in the courts", author="A"), row(101, doi="10.5555/zz-1", title="Beta beta beta beta beta beta", author="B"), row(102, doi="10.5555/ZZ-1", title="Gamma gamma gamma gamma gamma", author="C")]
+    rows += [row(200, doi="10.98765/a.00.00", title="Delta delta delta delta delta", author="D"), row(201, doi="10.98765/a.00.00", title="Omega omega omega omega omega", author="E")]
+    g = groups(spark, rows)
+    assert g[102] == 101 and g[200] == 200 and g[201] == 201
+
+
 def test_different_dois_stay_apart(spark):
     g = groups(spark, [row(1, doi="10.98765/a.00.000001", title=TITLE), row(2, doi="10.98765/a.00.000002", title=TITLE.replace("law", "lww"))])
     assert g == {1: 1, 2: 2}
