@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.runtime import blank_trim
@@ -80,63 +80,63 @@ def _shape(piece: Column) -> Column:
     )
 
 
-def delimiter_scores(df: DataFrame, text: str, source: str | None = None) -> DataFrame:
-    """Every candidate's score per source, over all rows.
+def delimiter_scores(df: DataFrame, text: str | list[str], source: str | None = None) -> DataFrame:
+    """Every candidate's score per field and source, over all rows.
 
-    Returns ``source, delim, n_rows, regularity, consistency, score``.
+    Returns ``field, source, delim, n_rows, regularity, consistency, score``;
+    ``text`` is one column or several, which are read in one scan.
     ``regularity`` is the overlap of the shapes of a candidate's pieces with
     the shapes of texts that hold no strong candidate at all; ``consistency``
     falls with the standard deviation of the piece counts' logarithm and with
-    its distance from that of all strong candidates together.  One scan
-    with partial aggregation; the result has at most sources x candidates
-    rows.  Null and empty texts do not count.
+    its distance from that of all strong candidates together.  The scan
+    aggregates before it moves anything; the result has at most fields x
+    sources x candidates rows.  Null and empty texts do not count.
     """
     src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
-    base = df.select(src.alias("source"), _bare(blank_trim(F.col(text))).alias("t")).filter("t <> ''")
+    fields = [text] if isinstance(text, str) else list(text)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("t")) for f in fields]))
+    base = df.select(src.alias("source"), each.alias("x")).filter("x.t is not null")
+    base = base.select("x.field", "source", _bare(blank_trim(F.col("x.t"))).alias("t")).filter("t <> ''")
     names = [c[0] for c in CANDIDATES]
-    parts = [
-        F.when(F.col("t").rlike(rx), F.struct(F.lit(n).alias("d"), F.split("t", rx).alias("p"))) for n, rx in CANDIDATES
-    ]
+    parts = [F.when(F.col("t").rlike(rx), F.struct(F.lit(n).alias("d"), F.split("t", rx).alias("p"))) for n, rx in CANDIDATES]
     own = F.when(
         ~F.col("t").rlike("[;|\n·]|\\s(//|&|and)\\s"),
         F.struct(F.lit("").alias("d"), F.array("t").alias("p")),
     )
-    cut = base.select("source", F.explode(F.filter(F.array(*parts, own), lambda x: x.isNotNull())).alias("x")).select(
-        "source", "x.d", F.filter(F.transform("x.p", lambda p: F.trim(p)), lambda p: p != "").alias("p")
-    )
-    # One scan: the first piece of a row carries the row's own figures.
-    log_n = F.log(F.greatest(F.size("p"), F.lit(1)))
-    first = F.col("pos") == 0
+    cut = base.select("field", "source", F.explode(F.array(*parts, own)).alias("x")).filter("x is not null").select("field", "source", "x.d", "x.p")
+    # One scan: the first piece of a row carries the row's own figures; empty pieces count only there.
+    log_n = F.log(F.greatest(F.size(F.array_remove("p", "")), F.lit(1)))
+    first, some = F.col("pos") == 0, F.col("piece") != ""
+    each = cut.select("field", "source", "d", log_n.alias("log_n"), F.posexplode("p")).select("field", "source", "d", "log_n", "pos", F.trim("col").alias("piece"))
     shapes = (
-        cut.select("source", "d", log_n.alias("log_n"), F.posexplode("p"))
-        .groupBy("source", "d", _shape(F.col("col")).alias("s"))
+        each.filter(first | some)
+        .groupBy("field", "source", "d", F.when(some, _shape(F.col("piece"))).otherwise("").alias("s"))
         .agg(
-            F.count("*").alias("n"),
+            F.count_if(some).alias("n"),
             F.sum(first.cast("long")).alias("rows"),
             F.sum(F.when(first, F.col("log_n"))).alias("sum_log"),
             F.sum(F.when(first, F.col("log_n") * F.col("log_n"))).alias("sum_sq"),
         )
+        .repartition("field", "source")  # tallies only; serves every window below
     )
     # Texts without any strong candidate show what one value looks like; where
     # there are hardly any, the pieces of the most frequent strong candidate do.
     strong = F.col("d").isin(*STRONG)
-    sized = shapes.withColumn("d_rows", F.sum("rows").over(_win("source", "d")))
-    sized = sized.withColumn("share", F.col("n") / F.sum("n").over(_win("source", "d")))
-    ranked = sized.withColumn("singles", F.max(F.when(F.col("d") == "", F.col("d_rows"))).over(_win("source")))
-    ranked = ranked.withColumn("top", F.max(F.when(strong, F.struct("d_rows", "d"))).over(_win("source")))
+    one, two = Window.partitionBy("field", "source"), Window.partitionBy("field", "source", "d")
+    sized = shapes.withColumn("d_rows", F.sum("rows").over(two)).withColumn("share", F.col("n") / F.sum("n").over(two))
+    ranked = sized.withColumn("singles", F.max(F.when(F.col("d") == "", F.col("d_rows"))).over(one))
+    ranked = ranked.withColumn("top", F.max(F.when(strong, F.struct("d_rows", "d"))).over(one))
     few = F.greatest(F.col("top.d_rows") * 0.01, F.lit(10))
     enough = F.coalesce(F.col("singles") >= few, F.col("top").isNull())
     based = ranked.withColumn("model", F.when(enough, "").otherwise(F.col("top.d")))
-    based = based.withColumn(
-        "pool", F.sum(F.when(strong, F.col("sum_log"))).over(_win("source")) / F.sum(F.when(strong, F.col("rows"))).over(_win("source"))
-    )
-    against = based.withColumn("base", F.max(F.when(F.col("d") == F.col("model"), F.col("share"))).over(_win("source", "s")))
+    based = based.withColumn("pool", F.sum(F.when(strong, F.col("sum_log"))).over(one) / F.sum(F.when(strong, F.col("rows"))).over(one))
+    against = based.withColumn("base", F.max(F.when(F.col("d") == F.col("model"), F.col("share"))).over(Window.partitionBy("field", "source", "s")))
     mean = F.sum("sum_log") / F.sum("rows")
     spread = F.sqrt(F.greatest(F.sum("sum_sq") / F.sum("rows") - mean * mean, F.lit(0.0)))
     off = F.abs(mean - F.coalesce(F.max("pool"), mean))
     return (
         against.filter(F.col("d").isin(*names))
-        .groupBy("source", F.col("d").alias("delim"))
+        .groupBy("field", "source", F.col("d").alias("delim"))
         .agg(
             F.sum("rows").alias("n_rows"),
             F.sum(F.least("share", F.coalesce("base", F.lit(0.0)))).alias("regularity"),
@@ -146,35 +146,34 @@ def delimiter_scores(df: DataFrame, text: str, source: str | None = None) -> Dat
     )
 
 
-def _win(*by):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
-
-
-def infer_delimiters(
-    df: DataFrame, text: str, source: str | None = None, least_score: float = 0.33, least_rows: float = 0.002, joined: bool = False
-) -> dict[str, Dialect]:
-    """One ``Dialect`` per source from ``delimiter_scores``.
+def infer_dialects(
+    df: DataFrame, texts: list[str], source: str | None = None, least_score: float = 0.33, least_rows: float = 0.002, joined: tuple[str, ...] = ()
+) -> dict[str, dict[str, Dialect]]:
+    """Per field one ``Dialect`` per source from ``delimiter_scores``, in one scan for all fields.
 
     A candidate is accepted from ``least_score`` on if at least a share of
     ``least_rows`` of the most frequent candidate's rows hold it.  The comma is
     weak wherever another candidate is accepted.  The driver receives one row
-    per source and candidate.
+    per field, source and candidate.
     """
-    found: dict[str, list] = {}
-    for r in delimiter_scores(df, text, source).collect():
-        found.setdefault(r["source"], []).append(r)
-    out = {}
-    for s, rs in found.items():
+    found: dict[tuple[str, str], list] = {}
+    for r in delimiter_scores(df, texts, source).collect():
+        found.setdefault((r["field"], r["source"]), []).append(r)
+    out: dict[str, dict[str, Dialect]] = {f: {} for f in texts}
+    for (f, s), rs in found.items():
         most = max(r["n_rows"] for r in rs)
         good = {r["delim"]: r["score"] for r in rs if r["score"] >= least_score and r["n_rows"] >= least_rows * most}
         strong = tuple(d for d in sorted(good, key=lambda d: -good[d]) if d != ",")
         weak = (",",) if "," in good else ()
-        out[s] = Dialect(strong if strong else weak, weak if strong else (), joined, {r["delim"]: r["score"] for r in rs})
+        out[f][s] = Dialect(strong if strong else weak, weak if strong else (), f in joined, {r["delim"]: r["score"] for r in rs})
     return out
 
 
+def infer_delimiters(df: DataFrame, text: str, source: str | None = None, least_score: float = 0.33, least_rows: float = 0.002, joined: bool = False) -> dict[str, Dialect]:
+    """``infer_dialects`` of one field."""
+    return infer_dialects(df, [text], source, least_score, least_rows, (text,) if joined else ())[text]
+
+
 def _pattern(delims: tuple[str, ...], joined: bool) -> str:
     """Regular expression whose group 1 is a value."""
     ones = "".join("\\" + d if d in "|\\^-]" else d for d in delims if len(d) == 1) + MARK
@@ -239,6 +238,14 @@ def protected_values(df: DataFrame, text: str, dialect: Dialect) -> DataFrame:
     )
 
 
+def _alike(how: dict[str, Dialect]) -> dict[Dialect, list[str]]:
+    """Sources by dialect; the order of delimiters doesn't matter."""
+    out: dict[Dialect, list[str]] = {}
+    for s, x in how.items():
+        out.setdefault(Dialect(tuple(sorted(x.strong)), x.weak, x.joined), []).append(s)
+    return out
+
+
 def add_values(
     df: DataFrame,
     columns: dict[str, str],
@@ -249,26 +256,33 @@ def add_values(
     """``df`` with an array column of values per packed column: ``columns`` maps text to new name.
 
     A null, empty or blank text gives an empty array.  Texts are read whole;
-    the split needs no shuffle.  Where a dialect has a weak delimiter, the
-    texts are looked up among the protected values (a distinct list).
+    the split needs no shuffle.  Dialects that aren't given are inferred in one
+    scan for all columns; sources of one dialect share one expression.  Where a
+    dialect has a weak delimiter, texts without a strong one are looked up
+    among the protected values (a distinct list).
     """
     src = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
     out = df
+    missing = [t for t in columns if t not in (dialects or {})]
+    known = {**(infer_dialects(df, missing, source, joined=joined) if missing else {}), **(dialects or {})}
     for i, (text, name) in enumerate(columns.items()):
-        how = (dialects or {}).get(text)
-        if how is None:
-            how = infer_delimiters(df, text, source, joined=text in joined)
+        how = _alike(known[text])
         t = F.coalesce(F.col(text).cast("string"), F.lit(""))
         keep, probe = None, f"_whole{i}"
-        if any(x.weak for x in how.values()):
-            whole = _any_protected(df.select(src.alias("_s"), F.col(text).alias("_t")), how)
-            out = out.withColumn(
-                probe, F.when(t.contains(","), F.lower(F.regexp_replace(blank_trim(t), r"(?U)\s+", " ")))
-            ).join(whole.select(F.col("whole").alias(probe), F.lit(True).alias(f"_keep{i}")), probe, "left")
+        weak = {x: names for x, names in how.items() if x.weak}
+        if weak:
+            whole = _any_protected(df.select(src.alias("_s"), F.col(text).alias("_t")), weak)
+            asks = F.lit(False)
+            for x, names in weak.items():
+                asks = asks | (src.isin(*names) & ~t.rlike("|".join(r for n, r in CANDIDATES if n in x.strong)))
+            # Texts that ask nothing spread over keys that no value has.
+            own = F.concat(F.lit(MARK), F.xxhash64(t).cast("string"))
+            key = F.when(t.contains(",") & asks, F.lower(F.regexp_replace(blank_trim(t), r"(?U)\s+", " "))).otherwise(own)
+            out = out.withColumn(probe, key).join(whole.select(F.col("whole").alias(probe), F.lit(True).alias(f"_keep{i}")), probe, "left")
             keep = F.coalesce(F.col(f"_keep{i}"), F.lit(False))
         expr = values(t, Dialect(joined=text in joined))
-        for s, x in how.items():
-            expr = F.when(src == s, values(t, x, keep)).otherwise(expr)
+        for x, names in how.items():
+            expr = F.when(src.isin(*names), values(t, x, keep)).otherwise(expr)
         out = out.withColumn(name, expr).drop(probe, f"_keep{i}")
     return out
 
@@ -296,14 +310,10 @@ def split_values(
     )
 
 
-def _any_protected(df: DataFrame, dialects: dict[str, Dialect]) -> DataFrame:
-    """``protected_values`` of all sources together, as one distinct list."""
-    groups: dict[Dialect, list[str]] = {}
-    for s, x in dialects.items():
-        if x.weak:
-            groups.setdefault(Dialect(tuple(sorted(x.strong)), x.weak), []).append(s)
+def _any_protected(df: DataFrame, dialects: dict[Dialect, list[str]]) -> DataFrame:
+    """``protected_values`` of all sources together, as one distinct list; one part per dialect."""
     got = None
-    for x, names in groups.items():
+    for x, names in dialects.items():
         part = protected_values(df.filter(F.col("_s").isin(*names)), "_t", x)
         got = part if got is None else got.union(part)
     return got.distinct()
