@@ -1,7 +1,9 @@
 """Mapping free-entered values to the entries of a reference list.
 
 An automaton over the entries' names and aliases (all in one normal form)
-finds embedded mentions; the longest match wins.  A value without a mention
+finds embedded mentions; the longest of the non-overlapping ones wins (ties:
+the smallest id).  Aliases are a table of the caller's, (alias, name) rows;
+usual short forms are derived from the names.  A value without a mention
 goes to token-set similarity: its tokens are first led to the list's own
 vocabulary (edits of one or two letters by deletion neighbourhoods), then the
 entry with the largest weighted overlap of token sets is taken if it reaches a
@@ -13,6 +15,7 @@ values are streamed and never shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -23,9 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIST_ROWS = 2_000_000  # largest reference list that is sent to every task
+LIST_ROWS, LIST_LETTERS = 200_000, 10_000_000  # largest reference list that is sent to every task: each letter takes some hundred bytes of neighbourhoods there
 
-# Words of institution names and the forms they are typed in.
+# Words that stand in many institutions' names, and the forms they are typed in; the default of ``forms``.
 WORD_FORMS = {
     "univ": ("university", "univ", "uni", "universitat", "universite", "universidad", "universidade", "universita"),
     "technol": ("technology", "technol", "tech"),
@@ -37,12 +40,8 @@ WORD_FORMS = {
     "med": ("medical", "med"),
     "teachers": ("teachers", "teacher"),
 }
-GENERIC = frozenset((*WORD_FORMS, "state", "law"))  # words that don't tell institutions apart
+COMMON = frozenset(("state", "law"))  # further words that don't tell institutions apart
 STOP = frozenset(("of", "the", "de", "la", "and", "for", "du", "da", "do", "der", "fur"))
-# Common short forms of keywords that initials alone leave ambiguous.
-SHORT_FORMS = {"ai": "artificial intelligence", "ip": "intellectual property", "llm": "large language models", "oa": "open access"}
-
-_FORM = {w: k for k, ws in WORD_FORMS.items() for w in ws}
 
 
 def words(text: str) -> list[str]:
@@ -53,10 +52,10 @@ def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", t)
 
 
-def institution_tokens(text: str) -> list[str]:
-    """Names in square brackets before an affiliation are people, not institutions."""
+def institution_tokens(text: str, form: dict[str, str] | None = None) -> list[str]:
+    """Words in one form each (``form`` maps a typed word to it); names in square brackets before an affiliation are people, not institutions."""
     text = re.sub(r"^\s*\[[^\]]*\]", "", text)
-    return [_FORM.get(w, w) for w in words(text) if w not in STOP]
+    return [(form or {}).get(w, w) for w in words(text) if w not in STOP]
 
 
 def keyword_tokens(text: str) -> list[str]:
@@ -98,22 +97,36 @@ class Matcher:
     tokenise: callable
     threshold: float = 0.8
     whole: bool = False  # True: compare with all of the value's tokens, False: with those an entry needs
+    forms: dict = field(default_factory=dict)  # word -> the forms it is typed in
     aliases: dict = field(default_factory=dict)  # tuple of tokens -> ref id, None if ambiguous
+    names: dict = field(default_factory=dict)  # ref id -> tokens
+    given: set = field(default_factory=set)  # aliases of the caller's table, which derived ones don't touch
 
     def add(self, ref_id: int, name: str, short=()) -> None:
         toks = tuple(self.tokenise(name))
         if not toks:
             return
-        self.names = getattr(self, "names", {})
         self.names[ref_id] = toks
         for a in {toks, *map(tuple, short)}:
-            if a:
+            if a and a not in self.given:
                 self.aliases[a] = ref_id if self.aliases.get(a, ref_id) == ref_id else None
 
+    def give(self, entries: list[tuple[int, str]], aliases) -> None:
+        """Aliases of the caller's: (alias, name) rows; the alias also stands with a plural s.  Names off the list are left out."""
+        ids: dict = {}
+        for i, name in entries:
+            ids.setdefault(tuple(self.tokenise(name)), i)
+        for alias, name in aliases:
+            i = ids.get(tuple(self.tokenise(name)))
+            for a in {tuple(self.tokenise(alias)), tuple(self.tokenise(alias + "s")), (alias.lower() + "s",)} if i is not None else ():
+                if a:
+                    self.aliases[a] = i if self.aliases.get(a, i) == i else None
+                    self.given.add(a)
+
     def build(self) -> Matcher:
         import ahocorasick
 
-        self.names = getattr(self, "names", {})
+        self.form = {w: k for k, ws in self.forms.items() for w in ws}
         self.auto = ahocorasick.Automaton()
         for a, i in self.aliases.items():
             if i is not None:
@@ -129,7 +142,7 @@ class Matcher:
         n = max(1, len(self.names))
         self.weight = {w: math.log(1 + n / c) for w, c in df.items()}
         self.vocab = set(df) | {w for a in self.aliases for w in a}
-        self.full = set(df) | {f for k in set(df) for f in WORD_FORMS.get(k, ())}
+        self.full = set(df) | {f for k in set(df) for f in self.forms.get(k, ())}
         self.near: dict[str, list[str]] = {}
         for w in sorted(self.full):
             if len(w) >= 3:
@@ -144,15 +157,22 @@ class Matcher:
         self.known: dict[str, str] = {}
         return self
 
-    def _mention(self, toks: list[str]) -> int | None:
-        """The longest mention; the first of equally long ones."""
+    def mentions(self, toks: list[str]) -> list[int]:
+        """Ids of the mentions that don't overlap, longest first; of equally long ones the smallest id, then the first in the text, goes first."""
         if not self.ready or not toks:
-            return None
-        best, at = None, 0
-        for _, (size, i) in self.auto.iter(f" {' '.join(toks)} "):
-            if size > at:
-                best, at = i, size
-        return best
+            return []
+        text = f" {' '.join(toks)} "
+        found = sorted((-size, i, end - size + 1, end) for end, (size, i) in self.auto.iter(text))
+        out, taken = [], []
+        for _, i, start, end in found:
+            # Neighbours share the blank between them.
+            if all(end <= s or start >= e for s, e in taken):
+                taken.append((start, end))
+                out.append(i)
+        return out
+
+    def _mention(self, toks: list[str]) -> int | None:
+        return next(iter(self.mentions(toks)), None)
 
     def _correct(self, w: str) -> str:
         """The vocabulary's word nearest to w, or w itself."""
@@ -182,7 +202,7 @@ class Matcher:
         hit = self._mention(toks)
         if hit is not None:
             return hit, "mention", 1.0
-        right = [_FORM.get(c, c) if self.whole is False else c for c in map(self._correct, toks)]
+        right = [self.form.get(c, c) for c in map(self._correct, toks)]
         hit = self._mention(right)
         if hit is not None:
             return hit, "corrected", 0.95
@@ -221,54 +241,59 @@ class Matcher:
         return self._lm
 
 
-def institution_matcher(entries: list[tuple[int, str]]) -> Matcher:
+def institution_matcher(entries: list[tuple[int, str]], aliases=(), forms: dict = WORD_FORMS, common: frozenset = COMMON) -> Matcher:
     """Short forms: the distinctive word followed by the initials of the other words (X UT, X SU)."""
-    m = Matcher(institution_tokens, 0.9)
+    form = {w: k for k, ws in forms.items() for w in ws}
+    tokens = functools.partial(institution_tokens, form=form)
+    m = Matcher(tokens, 0.9, forms=forms)
+    m.give(entries, aliases)
     df: dict[str, int] = {}
     for _, name in entries:
-        for w in set(institution_tokens(name)):
+        for w in set(tokens(name)):
             df[w] = df.get(w, 0) + 1
     for i, name in entries:
-        t = institution_tokens(name)
-        rare = min(range(len(t)), key=lambda k: (t[k] in GENERIC, df[t[k]])) if t else 0
+        t = tokens(name)
+        rare = min(range(len(t)), key=lambda k: (t[k] in forms or t[k] in common, df[t[k]])) if t else 0
         rest = t[:rare] + t[rare + 1 :]
         short = [(t[rare], "".join(w[0] for w in rest))] if len(rest) >= 2 else []
         m.add(i, name, short)
     return m.build()
 
 
-def keyword_matcher(entries: list[tuple[int, str]]) -> Matcher:
-    """Short forms: initials, with and without a plural s; inverted forms (detection of plagiarism)."""
+def keyword_matcher(entries: list[tuple[int, str]], aliases=()) -> Matcher:
+    """Short forms: initials of three letters or more, with and without a plural s; inverted forms (detection of plagiarism)."""
     m = Matcher(keyword_tokens, 0.75, whole=True)
+    m.give(entries, aliases)
     for i, name in entries:
         t = keyword_tokens(name)
         short = []
         if len(t) >= 2:
             ini = "".join(w[0] for w in t)
-            own = next((k for k, v in SHORT_FORMS.items() if tuple(keyword_tokens(v)) == tuple(t)), None)
-            if own or (len(ini) >= 3 and ini not in SHORT_FORMS):
-                short += [tuple(keyword_tokens(own or ini)), tuple(keyword_tokens((own or ini) + "s")), ((own or ini) + "s",)]
+            if len(ini) >= 3:
+                short += [tuple(keyword_tokens(ini)), tuple(keyword_tokens(ini + "s")), (ini + "s",)]
             short.append((t[-1], *t[:-1]))
         m.add(i, name, short)
     return m.build()
 
 
-def map_values(values: DataFrame, entries: list[tuple[int, str]], matcher, value: str = "val") -> DataFrame:
+def map_values(values: DataFrame, entries: list[tuple[int, str]], matcher, value: str = "val", aliases=()) -> DataFrame:
     """``values`` with ``ref_id, how, score``.
 
-    ``entries`` are (id, name) of the reference list.  Null and blank values
+    ``entries`` are (id, name) of the reference list, ``aliases`` (alias, name)
+    of further names.  Both are checked in rows and letters before they are
+    sent to every task.  Null and blank values
     get -1; equal values get equal results; ties go to the smallest id of
     equally similar entries; an empty list gives -1 throughout.  Extra columns
     are passed on; a column that clashes with a result column is replaced.
     """
-    if len(entries) > LIST_ROWS:
-        raise ValueError(f"the reference list has {len(entries)} rows; at most {LIST_ROWS} can be sent to every task")
+    if len(entries) + len(aliases) > LIST_ROWS or sum(len(r[1]) for r in entries) > LIST_LETTERS:
+        raise ValueError(f"at most {LIST_ROWS} names and aliases of {LIST_LETTERS} letters together can be sent to every task")
     values = values.drop(*[c for c in ("ref_id", "how", "score") if c in values.columns and c != value])
     out = "struct<ref_id:bigint,how:string,score:double>"
 
     @F.pandas_udf(out)
     def match(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = matcher(entries)
+        m = matcher(entries, aliases)
         known: dict = {}
         for s in parts:
             got = []

@@ -44,6 +44,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_links(spark, sf_dir).select(F.least(a, b).alias("cite_id_a"), F.greatest(a, b).alias("cite_id_b"))
 
 
+# Aliases of keywords that initials of two letters leave open: (alias, name).
+KEYWORD_ALIASES = (("AI", "artificial intelligence"), ("IP", "intellectual property"), ("LLM", "large language models"), ("OA", "open access"))
+
+
 def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value with its entry, how it was found and the score; ref_id -1 reports values without an entry."""
     papers, enriched = table(spark, sf_dir, "papers"), table(spark, sf_dir, "enriched_data")
@@ -52,10 +56,10 @@ def p4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = split_values(papers, "record_id", "affiliations", "source_db").withColumnRenamed("record_id", "row_id")
     k = split_values(enriched, "enriched_id", "standardized_keywords").withColumnRenamed("enriched_id", "row_id")
     parts = [
-        canonical.map_values(v, e, m).select(F.lit(f).alias("field_name"), "row_id", "pos", "val", "ref_id", "how", "score")
-        for f, v, e, m in (
-            ("affiliations", a, inst, canonical.institution_matcher),
-            ("standardized_keywords", k, words, canonical.keyword_matcher),
+        canonical.map_values(v, e, m, aliases=x).select(F.lit(f).alias("field_name"), "row_id", "pos", "val", "ref_id", "how", "score")
+        for f, v, e, m, x in (
+            ("affiliations", a, inst, canonical.institution_matcher, ()),
+            ("standardized_keywords", k, words, canonical.keyword_matcher, KEYWORD_ALIASES),
         )
     ]
     return parts[0].unionByName(parts[1])
@@ -68,11 +72,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "papers")
     n = papers.count()
-    out = None
-    for kind, baskets in (("keyword", items.keyword_items(papers)), ("reference", items.reference_items(papers))):
-        part = cooccurrence.item_pairs(baskets, n_rows=n).select(F.lit(kind).alias("item_kind"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    d = cut(items.paper_items(papers))  # read by several passes of both kinds
+    parts = [cooccurrence.item_pairs(d, items=f"{kind}s", n_rows=n).select(F.lit(kind).alias("item_kind"), "*") for kind in ("keyword", "reference")]
+    return parts[0].unionByName(parts[1])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +90,7 @@ LABELS = {
 
 def _consensus(spark: SparkSession, sf_dir: str):
     coding = table(spark, sf_dir, "taxonomy_coding")
-    votes = None
-    for dim, labels in LABELS.items():
-        v = consensus.latest_votes(coding, "paper_id", "coder_id", dim, "coded_at", "coding_id", labels)
-        v = v.select(F.lit(dim).alias("dim"), "item", "coder", "label")
-        votes = v if votes is None else votes.unionByName(v)
+    votes = consensus.latest_votes(coding, "paper_id", "coder_id", {d: d for d in LABELS}, "coded_at", "coding_id", LABELS)
     return consensus.spectral_consensus(votes, LABELS)
 
 

@@ -156,13 +156,17 @@ def item_pairs(
     n = baskets.count() if n_rows is None else n_rows
     if not n:
         return spark.createDataFrame([], schema)
-    one = baskets.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.filter(items, lambda v: v.isNotNull()))).alias("item"))
+    one = baskets.select(F.col(key).alias("k"), F.explode(F.array_distinct(items)).alias("item")).filter("item is not null")
     counts = one.groupBy("item").agg(F.count("*").alias("n")).filter((F.col("n") >= least_together) & (F.col("n") * least_lift <= n))
     # Ids are fixed by the checkpoint: what is recomputed after a loss reads the same ids.
     dictionary = cut(counts.withColumn("id", F.monotonically_increasing_id()))
     # Bounded by heavy_share x mean basket size, whatever the number of rows.
-    heavy = [r["id"] for r in dictionary.filter(F.col("n") * heavy_share >= n).select("id").collect()]
-    known = one.join(dictionary.select("item", "id"), "item").select("k", "id")
+    is_heavy = F.col("n") * heavy_share >= n
+    top = dictionary.filter(is_heavy).select("item", "id")
+    heavy = [r["id"] for r in top.select("id").collect()]
+    # Heavy items are looked up in every task; only rows of light items move, and a light item has few.
+    light = one.join(F.broadcast(top), "item", "left_anti").join(dictionary.filter(~is_heavy).select("item", "id"), "item")
+    known = one.join(F.broadcast(top), "item").select("k", "id").unionByName(light.select("k", "id"))
     lists = known.groupBy("k").agg(F.collect_list("id").alias("ids")).filter(F.size("ids") >= 2).select("ids")
     pairs = (
         lists.mapInPandas(_count_blocks(heavy), "a long, b long, n long")

@@ -15,15 +15,16 @@ def _items(values):
     return F.filter(F.transform(values, lambda v: collapse(v)), lambda v: v != "")
 
 
-def keyword_items(papers: DataFrame) -> DataFrame:
-    """``record_id, items``: keyword items of both fields in one array, repeats kept."""
-    d = papers.select("record_id", "source_db", *KEYWORD_FIELDS)
-    d = add_values(d, {f: f"v{i}" for i, f in enumerate(KEYWORD_FIELDS)}, "source_db")
-    return d.select("record_id", _items(F.concat("v0", "v1")).alias("items"))
+def paper_items(papers: DataFrame, references: bool = True) -> DataFrame:
+    """``record_id, keywords, references``: items of both keyword fields in one array, and of the references; repeats kept.
+
+    One scan infers the delimiters of all fields, one splits them.
+    """
+    fields = (*KEYWORD_FIELDS, "references_text") if references else KEYWORD_FIELDS
+    d = add_values(papers.select("record_id", "source_db", *fields), {f: f"v{i}" for i, f in enumerate(fields)}, "source_db", ("references_text",))
+    return d.select("record_id", _items(F.concat("v0", "v1")).alias("keywords"), *([_items(F.col("v2")).alias("references")] if references else []))
 
 
-def reference_items(papers: DataFrame) -> DataFrame:
-    """``record_id, items``: reference items, repeats kept."""
-    d = papers.select("record_id", "source_db", "references_text")
-    d = add_values(d, {"references_text": "v"}, "source_db", ("references_text",))
-    return d.select("record_id", _items(F.col("v")).alias("items"))
+def keyword_items(papers: DataFrame) -> DataFrame:
+    """``record_id, items``: keyword items of both fields in one array, repeats kept."""
+    return paper_items(papers, False).withColumnRenamed("keywords", "items")

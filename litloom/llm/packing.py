@@ -1,11 +1,11 @@
 """Filling containers of fixed capacity by vector best-fit.
 
 Every container has three capacities: tokens, documents and attention cost
-(the sum of squared lengths).  An open container takes, of all items that fit
-every residual, the one with the best score: the residual norm it leaves (a
-look-ahead of one item finds exact fits) or the weighted dot product of
-residual and demand.  Items are known by length only while they wait, so a
-step costs a few operations on one bit mask of the lengths present.
+(the sum of squared lengths).  Items come in descending length, all containers
+stay open, and each item selects, of those whose three residuals hold it, the
+container with the best score: the least weighted norm of the residuals it
+leaves, or the largest weighted dot product of residual and demand.  Where none
+holds it, a container is opened.
 
 Documents are spread over blocks of bounded size by a hash of their id; each
 block is packed by one task.  A block's open end costs at most one container.
@@ -13,77 +13,82 @@ block is packed by one task.  A block's open end costs at most one container.
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WEIGHTS = (1.0, 0.1, 0.1)  # tokens, documents, attention cost
-
-
-def _closest(mask: int, back: int, left: dict[int, int], capacity: int, room: int) -> int:
-    """The longest of the one or two waiting lengths that leave least of ``room``; ``back`` has bit capacity - n for every n of ``mask``."""
-    longest = (mask & ((1 << (room + 1)) - 1)).bit_length() - 1
-    for t in range(min(room, 2 * longest), 0, -1):
-        if mask >> t & 1:
-            return t
-        pair = mask & (back >> (capacity - t))  # lengths n with t - n waiting too
-        n = pair.bit_length() - 1
-        if pair and (2 * n != t or left[n] > 1):
-            return n
-    return 0
+WEIGHTS = (1.0, 0.05, 0.05)  # tokens, documents, attention cost
+
+
+class Bins:
+    """Open containers: residual tokens, documents and attention cost, and the lengths they hold."""
+
+    def __init__(self, capacity: int, max_docs: int, max_cost: float, rule: str, weights):
+        self.full = np.array([capacity, max_docs, max_cost], float)
+        self.rule, self.weights = rule, np.array(weights, float)
+        self.rest = np.empty((1024, 3))
+        self.held: list[list[int]] = []
+        self.open = np.array([], int)
+
+    def score(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Of containers ``at``, lower is better; infinite where ``n`` doesn't fit every residual."""
+        need = np.array([n, 1.0, float(n) * n])
+        rest = self.rest[at]
+        if self.rule == "dot":
+            s = -((rest / self.full) * (need / self.full) * self.weights).sum(axis=1)
+        else:
+            s = ((((rest - need) / self.full) ** 2) * self.weights).sum(axis=1)
+        return np.where((rest >= need).all(axis=1), s, np.inf)
+
+    def put(self, b: int, n: int) -> None:
+        self.held[b].append(n)
+        self.rest[b] -= (n, 1.0, float(n) * n)
+
+    def new(self) -> int:
+        b = len(self.held)
+        if b == len(self.rest):
+            self.rest = np.concatenate([self.rest, np.empty_like(self.rest)])
+        self.held.append([])
+        self.rest[b] = self.full
+        return b
+
+    def place(self, n: int, count: int, least: int) -> None:
+        """``count`` items of length ``n``, one after the other; ``least`` is the shortest length still to come."""
+        self.open = self.open[(self.rest[self.open] >= (least, 1.0, float(least) * least)).all(axis=1)]
+        scores = self.score(self.open, n)
+        # Equal items change one container at a time: only its score is computed anew.
+        heap = [(float(s), int(b)) for s, b in zip(scores, self.open, strict=True) if s < np.inf]
+        heapq.heapify(heap)
+        fresh = []
+        for _ in range(count):
+            if heap:
+                b = heapq.heappop(heap)[1]
+            else:
+                b = self.new()  # a first piece always fits
+                fresh.append(b)
+            self.put(b, n)
+            s = float(self.score(np.array([b]), n)[0])
+            if s < math.inf:
+                heapq.heappush(heap, (s, b))
+        self.open = np.concatenate([self.open, np.array(fresh, int)])
 
 
 def pack_lengths(counts: dict[int, int], capacity: int, max_docs: int, max_cost: float, rule: str = "residual", weights=WEIGHTS) -> list[list[int]]:
     """Containers as lists of lengths; every length is at most ``capacity``."""
-    left = {n: c for n, c in counts.items() if c}
-    mask = back = 0
-    for n in left:
-        mask |= 1 << n
-        back |= 1 << (capacity - n)
-    wt, wd, wa = weights
-    bound = max_docs < capacity or max_cost < capacity**2  # else tokens run out first, whatever the lengths
-    out = []
-
-    def take(n: int) -> None:
-        nonlocal mask, back
-        left[n] -= 1
-        if not left[n]:
-            del left[n]
-            mask &= ~(1 << n)
-            back &= ~(1 << (capacity - n))
-
-    while mask:
-        first = mask.bit_length() - 1  # the longest opens the container, alone if need be
-        take(first)
-        bin_, rt, rd, ra = [first], capacity - first, max_docs - 1, max_cost - first * first
-        while rd > 0 and rt > 0 and ra >= 1:
-            fit = mask & ((1 << (min(rt, math.isqrt(int(ra))) + 1)) - 1)
-            if not fit:
-                break
-            best, score = 0, None
-            if rule != "dot" and not bound:
-                best, fit = _closest(mask, back, left, capacity, rt), 0
-            while fit:
-                n = fit.bit_length() - 1
-                fit ^= 1 << n
-                if rule == "dot":
-                    s = -(wt * rt * n / capacity**2 + wd * rd / max_docs**2 + wa * ra * n * n / max_cost**2)
-                else:
-                    rest = rt - n
-                    if rest and rd > 1:
-                        others = mask if left[n] > 1 else mask & ~(1 << n)
-                        more = others & ((1 << (min(rest, math.isqrt(int(ra - n * n))) + 1)) - 1)
-                        rest -= more.bit_length() - 1 if more else 0
-                    s = wt * (rest / capacity) ** 2 + (wd * ((rd - 1) / max_docs) ** 2 + wa * ((ra - n * n) / max_cost) ** 2) * 1e-3
-                if score is None or s < score:
-                    best, score = n, s
-            take(best)
-            bin_.append(best)
-            rt, rd, ra = rt - best, rd - 1, ra - best * best
-        out.append(bin_)
-    return out
+    lengths = sorted((n for n, c in counts.items() if c), reverse=True)
+    bins = Bins(capacity, max_docs, max_cost, rule, weights)
+    for n in lengths:
+        bins.place(n, counts[n], lengths[-1])
+    return bins.held
+
+
+def _limits(capacity: int, docs_per_token: float, cost_share: float) -> tuple[int, float]:
+    """Documents and attention cost that a container of ``capacity`` tokens may hold."""
+    return max(1, int(capacity * docs_per_token)), max(1.0, cost_share * capacity * capacity)
 
 
 def _pack_block(rule: str, docs_per_token: float, cost_share: float):
@@ -99,8 +104,7 @@ def _pack_block(rule: str, docs_per_token: float, cost_share: float):
                 rows.append((pack, (block << 32) + box, i, start // capacity, start, capacity))
                 start, box = start + capacity, box + 1
             waiting.setdefault(n - start, []).append((i, start))
-        max_docs = max(1, int(capacity * docs_per_token))
-        for lengths in pack_lengths({n: len(v) for n, v in waiting.items()}, capacity, max_docs, max(1.0, cost_share * capacity * capacity), rule):
+        for lengths in pack_lengths({n: len(v) for n, v in waiting.items()}, capacity, *_limits(capacity, docs_per_token, cost_share), rule):
             for n in lengths:
                 i, start = waiting[n].pop()
                 rows.append((pack, (block << 32) + box, i, start // capacity, start, n))
@@ -110,6 +114,9 @@ def _pack_block(rule: str, docs_per_token: float, cost_share: float):
     return run
 
 
+DOCS_PER_TOKEN, COST_SHARE = 1 / 64, 0.9  # of a container: a document for 64 tokens, 0.9 of the attention cost of a single text that fills it
+
+
 def pack(
     sizes: DataFrame,
     capacities: list[tuple[int, int]],
@@ -117,8 +124,8 @@ def pack(
     n_tokens: str = "n_tokens",
     block_rows: int = 20_000,
     rule: str = "residual",
-    docs_per_token: float = 1.0,
-    cost_share: float = 1.0,
+    docs_per_token: float = DOCS_PER_TOKEN,
+    cost_share: float = COST_SHARE,
 ) -> DataFrame:
     """``pack_id, container_id, key, piece, start_token, n_tokens``: one row per piece.
 
@@ -128,7 +135,8 @@ def pack(
     take no room and have no row.  Equal sizes are taken in the order of their
     keys; an empty table or no capacity gives no row; extra columns are
     ignored.  A container holds at most ``docs_per_token`` x capacity pieces
-    and ``cost_share`` x capacity^2 of attention cost; a first piece always fits.
+    (one at least) and ``cost_share`` x capacity^2 of attention cost; a first
+    piece always fits.  With both at 1.0 tokens alone decide.
     """
     spark = sizes.sparkSession
     kind = dict(sizes.dtypes)[key]
@@ -147,12 +155,29 @@ def pack(
     return got.withColumnRenamed("id", key)
 
 
-def packing_report(packed: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
-    """Per pack: containers, pieces, tokens, fill share and the bound no packing can beat."""
-    caps = packed.sparkSession.createDataFrame([(int(p), int(c)) for p, c in capacities], "pack_id int, capacity_tokens long")
-    per = packed.groupBy("pack_id").agg(F.countDistinct("container_id").alias("n_containers"), F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("tokens"))
-    return per.join(caps, "pack_id").select(
+def packing_report(packed: DataFrame, capacities: list[tuple[int, int]], docs_per_token: float = DOCS_PER_TOKEN, cost_share: float = COST_SHARE) -> DataFrame:
+    """Per pack: containers, pieces, tokens, the filled share of each capacity, containers at their limit of documents or cost, and the bound no packing can beat.
+
+    A container is at its limit of cost where a further piece of its unused tokens' length would exceed it.
+    """
+    caps = packed.sparkSession.createDataFrame(
+        [(int(p), int(c), *_limits(int(c), docs_per_token, cost_share)) for p, c in capacities if c and c > 0], "pack_id int, capacity_tokens long, most_docs long, most_cost double"
+    )
+    c = F.col
+    each = packed.groupBy("pack_id", "container_id").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("t"), F.sum(c("n_tokens").cast("double") * c("n_tokens")).alias("cost"))
+    each = each.join(F.broadcast(caps), "pack_id")
+    unused = c("capacity_tokens") - c("t")
+    full_docs = (unused > 0) & (c("docs") >= c("most_docs"))
+    full_cost = (unused > 0) & (c("cost") + unused * unused > c("most_cost"))
+    d = each.groupBy("pack_id", "capacity_tokens", "most_docs", "most_cost").agg(
+        F.count("*").alias("n_containers"), F.sum("docs").alias("n_pieces"), F.sum("t").alias("tokens"), F.sum("cost").alias("cost"),
+        F.count_if(full_docs).alias("at_most_docs"), F.count_if(full_cost).alias("at_most_cost"),
+    )
+    return d.select(
         "pack_id", "capacity_tokens", "n_containers", "n_pieces", "tokens",
-        (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill_share"),
-        F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
+        (c("tokens") / (c("n_containers") * c("capacity_tokens"))).alias("fill_share"),
+        (c("n_pieces") / (c("n_containers") * c("most_docs"))).alias("docs_share"),
+        (c("cost") / (c("n_containers") * c("most_cost"))).alias("cost_share"),
+        "at_most_docs", "at_most_cost",
+        F.ceil(c("tokens") / c("capacity_tokens")).alias("least_containers"),
     )

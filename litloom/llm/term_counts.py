@@ -10,11 +10,11 @@ reading task.
 
 from __future__ import annotations
 
-import os
-import shutil
+import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -26,12 +26,40 @@ SCHEMA = pa.schema([("term", pa.string()), ("uses", pa.int64()), ("n_rows", pa.i
 BITS = 4  # hash bits by which a part is split at each level
 
 
-def spill_folder(df: DataFrame) -> str | None:
-    """A path below the shared folder that tasks can write as files, or None where it isn't a file system path."""
-    at = shared_dir(df.sparkSession)
-    if at.startswith("file:"):
-        at = "/" + at[5:].lstrip("/")
-    return None if "://" in at else os.path.join(at, "radix")
+def spill_folder(df: DataFrame) -> str:
+    """The folder for spilled parts below the shared folder, qualified by the file system Spark itself would use."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toString().rstrip("/") + "/radix"
+
+
+class Shared:
+    """Parquet parts below a folder of any file system that Arrow knows; a plain path is a file system's own."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.fs, self.root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", folder if ":" in folder else f"file://{folder}")))
+        self.path = self.root if self.fs.type_name == "local" else None  # where DuckDB may spill itself
+
+    def write(self, part: str, rows: pa.Table) -> None:
+        self.fs.create_dir(f"{self.root}/{part}", recursive=True)
+        pq.write_table(rows, f"{self.root}/{part}/{uuid.uuid4().hex}.parquet", compression="zstd", filesystem=self.fs)
+
+    def batches(self, part: str) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for f in sorted(self.fs.get_file_info(fs.FileSelector(f"{self.root}/{part}", allow_not_found=True)), key=lambda f: f.path):
+            with self.fs.open_input_file(f.path) as file:
+                yield from pq.ParquetFile(file).iter_batches(50_000)
+
+    def drop(self, part: str = "") -> None:
+        from pyarrow import fs
+
+        at = f"{self.root}/{part}".rstrip("/")
+        if self.fs.get_file_info(at).type == fs.FileType.Directory:
+            self.fs.delete_dir(at)
 
 
 def _connect(memory_mb: int, temp: str | None):
@@ -57,7 +85,7 @@ class Radix:
 
     def __init__(self, folder: str | None, bytes_in_memory: int = 64 << 20, memory_mb: int = 256, level: int = 0):
         self.root, self.limit, self.memory_mb, self.level = folder, bytes_in_memory, memory_mb, level
-        self.own = os.path.join(folder, uuid.uuid4().hex) if folder else None
+        self.own = Shared(f"{folder}/{uuid.uuid4().hex}") if folder else None
         self.held: list[pa.RecordBatch] = []
         self.size, self.spilled = 0, False
         self.con = None
@@ -73,7 +101,7 @@ class Radix:
 
     def _shrink(self) -> None:
         """Aggregate what is held; write it by hash bits if that isn't enough."""
-        self.con = self.con or _connect(self.memory_mb, self.own)
+        self.con = self.con or _connect(self.memory_mb, self.own.path if self.own else None)
         small = _sum(self.con, self._table())
         self.held, self.size = small.to_batches(), small.nbytes
         if self.size > self.limit // 2 and self.own:
@@ -92,14 +120,12 @@ class Radix:
         for b in range(1 << BITS):
             rows = cut.filter(pc.equal(cut["b"], b)).drop(["b"])
             if rows.num_rows:
-                at = os.path.join(self.own, f"b{b}")
-                os.makedirs(at, exist_ok=True)
-                pq.write_table(rows, os.path.join(at, f"{uuid.uuid4().hex}.parquet"), compression="zstd")
+                self.own.write(f"b{b}", rows)
         self.spilled = True
 
     def result(self) -> Iterator[pa.RecordBatch]:
         try:
-            self.con = self.con or _connect(self.memory_mb, self.own)
+            self.con = self.con or _connect(self.memory_mb, self.own.path if self.own else None)
             small = _sum(self.con, self._table()) if self.held else None
             if not self.spilled:
                 if small is not None:
@@ -108,25 +134,21 @@ class Radix:
             if small is not None:
                 self._spill(small)
             self.held, self.size = [], 0
-            for b in sorted(os.listdir(self.own)):
-                at = os.path.join(self.own, b)
-                if not os.path.isdir(at) or not b.startswith("b"):
-                    continue
+            for b in range(1 << BITS):
                 # At the last level the bits are used up: DuckDB's own out-of-core aggregation takes the rest.
                 sub = Radix(self.root if self.level < 14 else None, self.limit, self.memory_mb, self.level + 1)
-                for f in sorted(os.listdir(at)):
-                    for batch in pq.ParquetFile(os.path.join(at, f)).iter_batches(50_000):
-                        sub.add(batch)
+                for batch in self.own.batches(f"b{b}"):
+                    sub.add(batch)
                 yield from sub.result()
-                shutil.rmtree(at, ignore_errors=True)
+                self.own.drop(f"b{b}")
         finally:
             if self.con is not None:
                 self.con.close()
             if self.own:
-                shutil.rmtree(self.own, ignore_errors=True)
+                self.own.drop()
 
 
-def _radix_map(folder: str | None, bytes_in_memory: int):
+def _radix_map(folder: str, bytes_in_memory: int):
     def run(batches):
         sums = Radix(folder, bytes_in_memory)
         for b in batches:
@@ -136,6 +158,29 @@ def _radix_map(folder: str | None, bytes_in_memory: int):
     return run
 
 
+def _list_sums(lists: pa.Array) -> pa.RecordBatch:
+    """(term, uses, n_rows) of a batch of rows' term lists; null and empty terms left out."""
+    import pyarrow.compute as pc
+
+    row, term = pc.list_parent_indices(lists), lists.flatten()
+    keep = pc.fill_null(pc.greater(pc.binary_length(term), 0), False)
+    term = term.filter(keep).dictionary_encode()
+    code, row = term.indices.to_numpy(zero_copy_only=False).astype(np.int64), row.filter(keep).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = len(term.dictionary)
+    held = np.unique(row * max(n, 1) + code) % max(n, 1)
+    return pa.RecordBatch.from_arrays([term.dictionary.cast(pa.string()), pa.array(np.bincount(code, minlength=n)), pa.array(np.bincount(held, minlength=n))], schema=SCHEMA)
+
+
+def _lists_map(folder: str, bytes_in_memory: int):
+    def run(batches):
+        sums = Radix(folder, bytes_in_memory)
+        for b in batches:
+            sums.add(_list_sums(b.column(0)))
+        yield from sums.result()
+
+    return run
+
+
 def term_counts(baskets: DataFrame, items: str = "items", bytes_in_memory: int = 32 << 20) -> DataFrame:
     """``term, uses, n_rows`` of every distinct term.
 
@@ -145,12 +190,9 @@ def term_counts(baskets: DataFrame, items: str = "items", bytes_in_memory: int =
     columns are ignored.  ``bytes_in_memory`` bounds what a task holds before
     it aggregates or spills; no term is ever dropped.
     """
-    d = baskets.select(F.filter(F.col(items), lambda v: v.isNotNull() & (v != "")).alias("i"))
-    one = d.select(F.explode(F.transform(F.array_distinct("i"), lambda t: F.struct(t.alias("term"), F.size(F.filter("i", lambda v: v == t)).alias("uses")))).alias("x"))
-    one = one.select("x.term", F.col("x.uses").cast("long").alias("uses"), F.lit(1).cast("long").alias("n_rows"))
     schema = "term string, uses long, n_rows long"
     folder = spill_folder(baskets)
-    part = one.mapInArrow(_radix_map(folder, bytes_in_memory), schema)
+    part = baskets.select(F.col(items).alias("i")).mapInArrow(_lists_map(folder, bytes_in_memory), schema)
     moved = part.repartition(F.xxhash64("term"))
     return moved.mapInArrow(_radix_map(folder, bytes_in_memory), schema)
 

@@ -91,18 +91,26 @@ def test_institutions():
 
 
 def test_keywords():
-    m = canonical.keyword_matcher(KEYS)
+    m = canonical.keyword_matcher(KEYS, [("AI", "Artificial Intelligence"), ("LLM", "large language models"), ("XX", "off the list")])
     cases = {"detection of plagiarism": 11, "A.I.": 12, "LLMs": 13, "Large-Language  Model": 13, "FPR": 14, "Text Reesue": 15, "plagiarism detections (general)": 11, "tram timetable": -1, "n/a": -1, "artifical_intelligence*": 12, "detection": -1}
     assert {v: m.match(v)[0] for v in cases} == cases
 
 
 def test_mapping_keeps_rows_and_handles_nulls(spark):
     d = spark.createDataFrame([(1, "AI", "x"), (1, "AI", "x"), (2, None, None), (3, "", "y")], "row long, val string, score string")
-    got = canonical.map_values(d, KEYS, canonical.keyword_matcher)
+    got = canonical.map_values(d, KEYS, canonical.keyword_matcher, aliases=[("AI", "artificial intelligence")])
     assert got.columns == ["row", "val", "ref_id", "how", "score"] and sorted(r["ref_id"] for r in got.collect()) == [-1, -1, 12, 12]
     assert {r["ref_id"] for r in canonical.map_values(d, [], canonical.keyword_matcher).collect()} == {-1}
     assert canonical.map_values(d.limit(0), KEYS, canonical.keyword_matcher).count() == 0
 
 
+def test_mentions_do_not_overlap():
+    m = canonical.institution_matcher([(7, "Alpha University"), (3, "Gamma University"), (9, "Gamma University Hospital Trust"), (5, "Trust Delta")])
+    t = lambda v: m.mentions(m.tokenise(v))
+    assert t("Alpha / Gamma University, Alpha University") == [3, 7] == t("Alpha University and Gamma University")  # equally long: smallest id first
+    assert t("Gamma University Hospital Trust Delta") == [9]  # Trust Delta overlaps it
+    assert m.match("Alpha Univ; Gamma Univ")[0] == 3
+
+
 def test_edits():
     assert canonical.edits("abcd", "abdc", 2) == 1 and canonical.edits("abc", "abc", 2) == 0 and canonical.edits("abc", "xyz", 2) == 3

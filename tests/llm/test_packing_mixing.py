@@ -16,7 +16,7 @@ def test_containers_are_valid_and_full(spark, rule):
     rows = [(i, "s", r.choice((0, 30, 60, 120, 250, 900)) + r.randint(0, 40), 9, 9) for i in range(3000)] + [(5000, "s", 0, 1, 1), (5001, "s", None, 1, 1), (5002, "s", 5000, 1, 1)]
     caps = [(1, 256), (2, 2048)]
     d = sizes(spark, rows)
-    got = packing.pack(d, caps, block_rows=800, rule=rule)
+    got = packing.pack(d, caps, block_rows=800, rule=rule, docs_per_token=1.0, cost_share=1.0)
     pieces, load = defaultdict(list), defaultdict(list)
     for x in got.collect():
         pieces[x["pack_id"], x["doc_id"]].append((x["start_token"], x["n_tokens"], x["piece"]))
@@ -40,11 +40,27 @@ def test_every_constraint_binds():
     assert all(sum(x * x for x in b) <= 2600 for b in got) and sum(map(len, got)) == 14
 
 
-def test_short_lengths_that_fit_exactly_are_seen():
-    waiting = {100: 1, 95: 1, 94: 1, 93: 1, 92: 1, 91: 1, 90: 1, 60: 1, 40: 1}
-    assert packing.pack_lengths(waiting, 200, 200, 200.0**2)[0] == [100, 60, 40]
-    assert packing.pack_lengths(waiting, 200, 150, 200.0**2)[0] == [100, 60, 40]  # every length scored
-    assert packing.pack_lengths({100: 1, 50: 1, 49: 1, 48: 1}, 200, 200, 200.0**2)[0] == [100, 50, 49]  # 50 is there once
+def test_items_select_among_all_open_containers():
+    # 60 and 50 open containers; 40 completes the first and 45 + 5 the second, whichever was opened last.
+    assert packing.pack_lengths({60: 1, 50: 1, 45: 1, 40: 1, 5: 1}, 100, 100, 1e9) == [[60, 40], [50, 45, 5]]
+    # Equal tokens left: the container with less of the other capacities left is taken.
+    assert packing.pack_lengths({70: 1, 35: 2, 30: 1}, 100, 3, 1e9, weights=(1.0, 1.0, 0.0)) == [[70], [35, 35, 30]]
+    r = random.Random(3)
+    waiting = defaultdict(int)
+    for _ in range(4000):
+        waiting[min(250, max(3, int(r.lognormvariate(3.6, 1.0))))] += 1
+    for rule in ("residual", "dot"):
+        got = packing.pack_lengths(dict(waiting), 256, 8, 0.9 * 256**2, rule)
+        assert sum(map(len, got)) == 4000
+        assert all(sum(b) <= 256 and len(b) <= 8 and (len(b) == 1 or sum(x * x for x in b) <= 0.9 * 256**2) for b in got)
+        assert any(len(b) == 8 and sum(b) < 256 for b in got)
+
+
+def test_registered_limits_bind(spark, sf):
+    from litloom.llm import catalog
+
+    at = {r["pack_id"]: r for r in catalog.p8_report(spark, sf).collect()}
+    assert sum(r["at_most_docs"] for r in at.values()) > 0 and sum(r["at_most_cost"] for r in at.values()) > 0
 
 
 def test_nothing_to_pack(spark):
