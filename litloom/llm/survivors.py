@@ -124,10 +124,12 @@ def blocked(forms: DataFrame, most_pairs: int) -> DataFrame:
         F.when(c("journal").isNotNull(), F.xxhash64(F.lit("jt"), "journal", F.substring("t", -28, 28))),
     )
     d = forms.withColumn("key", F.explode(F.filter(block, lambda k: k.isNotNull()))).withColumns({"is_q": ~c("has_doi"), "is_o": F.lit(True)})
-    hot = cut(_hot_keys(d, most_pairs))
-    if not hot.limit(1).count():
-        return d
-    d = d.join(hot.select("key", F.lit(True).alias("hot")), "key", "left")
+    # Most keys hold one group only, or no query: they form no pair.
+    sizes = d.groupBy("key").agg(F.count_if("is_o").alias("n"), F.count_if("is_q").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    sizes = cut(sizes.filter("m > 0 and lo <> hi").select("key", (c("n") * c("m") > most_pairs).alias("hot")))
+    d = d.join(sizes, "key")
+    if not sizes.filter("hot").limit(1).count():
+        return d.drop("hot")
     fine = _finer(d.filter("hot").drop("hot"))
     still = cut(_hot_keys(fine, most_pairs))
     fine = fine.join(still, "key", "left")
@@ -136,7 +138,7 @@ def blocked(forms: DataFrame, most_pairs: int) -> DataFrame:
     as_q, as_o = F.transform(to("columns"), lambda x: F.xxhash64("key", at("rows"), x)), F.transform(to("rows"), lambda x: F.xxhash64("key", x, at("columns")))
     tile = F.when(c("rows").isNull(), F.array("key")).when(c("is_q"), as_q).otherwise(as_o)
     fine = fine.withColumn("key", F.explode(tile)).drop("rows", "columns")
-    return d.filter("hot is null").drop("hot").unionByName(fine)
+    return d.filter("not hot").drop("hot").unionByName(fine)
 
 
 def duplicate_groups(rows: DataFrame, least_shape_share: float = 0.05, most_pairs: int = 1_000_000) -> DataFrame:
@@ -202,6 +204,7 @@ def _groups(d: DataFrame, least_shape_share: float = 0.05, most_pairs: int = 1_0
     # A cut title alone says little: the abstract's beginning or the year must agree, or both be unknown.
     pair = pair.filter(slip | (score >= 2))
     best = pair.groupBy("q_label").agg(F.min(F.struct((-score).alias("s"), F.col("o_label"))).alias("b")).select("q_label", F.col("b.o_label").alias("o_label"))
+    best = cut(best)
     named = F.concat_ws(">", "q_label", "o_label")
     more = best.select(F.explode(F.array("q_label", "o_label")).alias("id"), F.xxhash64(named).alias("key"))
     merged = components(more.select("id"), more)
