@@ -207,23 +207,29 @@ def screened(rows: DataFrame) -> DataFrame:
     return d.withColumn("is_relevant", c("in_years") & c("has_ai") & c("has_plag") & ~c("bad_type"))
 
 
-def funnel(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """[A1, A6] ``stage, n``: identified, after de-duplication, overlap, years, screens, core; one pass each."""
-    a = rows.agg(
-        F.count("*").alias("identified"), F.count_if(F.col("source_db") == "Scopus").alias("identified_scopus"), F.count_if(F.col("source_db") == "WoS").alias("identified_wos")
-    )
-    y = F.col("in_years")
+def funnel(rows: DataFrame, reps: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """[A1, A6] ``stage, n``: twenty-five counters from the rows identified to the core tier, in one pass over each frame.
+
+    ``reps`` are screened representatives; with ``is_seed`` the core is focus
+    or seed, else focus alone.  ``missing`` are the seed's rows found nowhere:
+    they join the extended and the core set.
+    """
+    c = F.col
+    a = rows.agg(F.count("*").alias("identified"), F.count_if(c("source_db") == "Scopus").alias("identified_scopus"), F.count_if(c("source_db") == "WoS").alias("identified_wos"))
+    m = (missing if missing is not None else rows.limit(0)).agg(F.count("*").alias("seed_missing"))
+    y, both, ok = c("in_years"), c("in_scopus") & c("in_wos"), c("is_relevant")
+    seed = c("is_seed") if "is_seed" in reps.columns else F.lit(False)
     b = reps.agg(
-        F.count("*").alias("after_dedup"),
-        F.count_if(F.col("in_scopus") & F.col("in_wos")).alias("overlap"),
-        F.count_if(y).alias("after_date"),
-        F.count_if(y & ~(F.col("has_ai") & F.col("has_plag"))).alias("excluded_terms"),
-        F.count_if(y & F.col("has_ai") & F.col("has_plag") & F.col("bad_type")).alias("excluded_type"),
-        F.count_if("is_relevant").alias("screened"),
-        F.count_if(F.col("is_relevant") & F.col("is_focus")).alias("core"),
+        F.count("*").alias("after_dedup"), F.count_if(both).alias("overlap"), F.count_if(c("in_scopus") & ~c("in_wos")).alias("scopus_only"), F.count_if(c("in_wos") & ~c("in_scopus")).alias("wos_only"),
+        F.count_if(c("group_rows") > 1).alias("groups_merged"), F.coalesce(F.max("group_rows"), F.lit(0)).alias("largest_group"),
+        F.count_if(y).alias("after_date"), F.count_if(~y).alias("excluded_date"),
+        F.count_if(y & ~(c("has_ai") & c("has_plag"))).alias("excluded_terms"), F.count_if(y & ~c("has_ai")).alias("without_ai"), F.count_if(y & ~c("has_plag")).alias("without_plagiarism"),
+        F.count_if(y & c("has_ai") & c("has_plag") & c("bad_type")).alias("excluded_type"), F.count_if(ok).alias("screened"), F.count_if(ok & c("is_focus")).alias("focus"), F.count_if(ok & seed).alias("seed_found"),
+        F.count_if(ok & (c("is_focus") | seed)).alias("_core"), F.count_if(ok & both).alias("screened_overlap"), F.count_if(ok & text.has_abstract(c("abstract"))).alias("with_abstract"),
     )
-    long = lambda d: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).cast("long").alias("n")) for c in d.columns])).alias("x")).select("x.*")
-    return long(a).unionByName(long(b))
+    d = a.join(F.broadcast(b), F.lit(True)).join(F.broadcast(m), F.lit(True))  # single rows
+    d = d.withColumns({"removed": c("identified") - c("after_dedup"), "seed_recovered": c("seed_missing"), "extended": c("screened") + c("seed_missing"), "core": c("_core") + c("seed_missing")}).drop("_core")
+    return d.select(F.explode(F.array(*[F.struct(F.lit(x).alias("stage"), c(x).cast("long").alias("n")) for x in d.columns])).alias("x")).select("x.*")
 
 
 def seed_flag(rows: DataFrame, seed: DataFrame) -> DataFrame:
@@ -235,12 +241,17 @@ def seed_flag(rows: DataFrame, seed: DataFrame) -> DataFrame:
     return d.withColumn("is_seed", F.coalesce("_sd", F.lit(False)) | F.coalesce("_st", F.lit(False))).drop("_d", "_t", "_sd", "_st")
 
 
-def recover_seed(rows: DataFrame, seed: DataFrame, order: str = "record_id") -> DataFrame:
-    """[J3, U2, U6] ``rows`` and the seed's rows whose key is missing there; those bypass every screen (``recovered``)."""
+def missing_seed(rows: DataFrame, seed: DataFrame, order: str = "record_id") -> DataFrame:
+    """[U6] The seed's rows whose key no row has, one per key."""
     key = text.dedup_key(F.col("doi"), F.col("title"), F.col(order))
     have = rows.select(key.alias("_k")).distinct()
-    miss = seed.withColumn("_k", key).join(have, "_k", "left_anti").dropDuplicates(["_k"]).drop("_k")
+    return seed.withColumn("_k", key).join(have, "_k", "left_anti").dropDuplicates(["_k"]).drop("_k")
+
+
+def recover_seed(rows: DataFrame, seed: DataFrame, order: str = "record_id") -> DataFrame:
+    """[J3, U2, U6] ``rows`` and the seed's rows whose key is missing there; those bypass every screen (``recovered``)."""
     flags = {c: F.lit(True) for c in ("in_years", "has_ai", "has_plag", "is_relevant", "is_focus") if c in rows.columns}
+    miss = missing_seed(rows, seed, order)
     return rows.withColumn("recovered", F.lit(False)).unionByName(miss.withColumns(flags).withColumn("recovered", F.lit(True)), allowMissingColumns=True)
 
 

@@ -81,6 +81,24 @@ def _sums(d: DataFrame, names: list[str], target: str, offset: str | None, theta
     return got.get(-1, 0.0), g, (h + h.T) / 2
 
 
+def _cluster_sums(d: DataFrame, target: str, names: list[str], offset: str | None, t0: list[float], inflated: bool) -> tuple[DataFrame, int]:
+    """Score vectors summed per cluster (``_cl``), first within each task: ``s0 .. s(k-1), _cl``."""
+    k = len(t0)
+
+    def scores(parts):
+        th = np.array(t0)
+        for pdf in parts:
+            x = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in names])
+            off = pdf[offset].to_numpy(float) if offset else np.zeros(len(pdf))
+            s = loglik(th, x, pdf[target].to_numpy(float), off, inflated)[1]
+            out = pd.DataFrame(s, columns=[f"s{i}" for i in range(k)])
+            out["_cl"] = pdf["_cl"].to_numpy()
+            yield out.groupby("_cl", as_index=False).sum()[[*[f"s{i}" for i in range(k)], "_cl"]]
+
+    got = d.mapInPandas(scores, ", ".join(f"s{i} double" for i in range(k)) + ", _cl string")
+    return got.groupBy("_cl").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]), k
+
+
 class Fit:
     """Coefficients, covariance and criteria of a fitted model."""
 
@@ -154,19 +172,7 @@ def fit_nb(rows: DataFrame, target: str, features: list[str], offset: str | None
     cov = np.linalg.pinv(-h)
     groups = None
     if cluster:
-        k, t0 = len(theta), [float(v) for v in theta]
-
-        def scores(parts):
-            th = np.array(t0)
-            for pdf in parts:
-                x = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in features])
-                off = pdf[offset].to_numpy(float) if offset else np.zeros(len(pdf))
-                s = loglik(th, x, pdf[target].to_numpy(float), off, inflated)[1]
-                out = pd.DataFrame(s, columns=[f"s{i}" for i in range(k)])
-                out["_cl"] = pdf["_cl"].to_numpy()
-                yield out.groupby("_cl", as_index=False).sum()[[*[f"s{i}" for i in range(k)], "_cl"]]
-
-        per = d.mapInPandas(scores, ", ".join(f"s{i} double" for i in range(k)) + ", _cl string").groupBy("_cl").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
+        per, k = _cluster_sums(d, target, features, offset, [float(v) for v in theta], inflated)
         outer = per.agg(F.count("*").alias("g"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         meat = np.array([[outer[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         groups = outer["g"]
@@ -174,6 +180,28 @@ def fit_nb(rows: DataFrame, target: str, features: list[str], offset: str | None
     return Fit(["Intercept", *features], theta, cov, ll, n, inflated, groups)
 
 
+def _given(rows: DataFrame, target: str, coef: dict[str, float], offset: str | None, cluster: str | None = None) -> tuple[list[str], DataFrame]:
+    names = [c for c in coef if c != "Intercept"]
+    use = [target, *names, *([offset] if offset else [])]
+    return names, rows.select(*[F.col(c).cast("double").alias(c) for c in use], *([F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("_cl")] if cluster else [])).dropna(subset=use)
+
+
+def at(rows: DataFrame, target: str, coef: dict[str, float], alpha: float, offset: str | None = None, inflation: float | None = None) -> Fit:
+    """[M12, M14, M15, M18] The model at given coefficients: its likelihood and criteria over all rows; the covariance is not computed."""
+    names, d = _given(rows, target, coef, offset)
+    theta = np.array([coef.get("Intercept", 0.0), *[coef[c] for c in names], math.log(alpha), *([math.log(inflation / (1 - inflation))] if inflation is not None else [])])
+    ll, _, _ = _sums(d, names, target, offset, theta, inflation is not None)
+    return Fit(["Intercept", *names], theta, np.full((len(theta), len(theta)), np.nan), ll, d.count(), inflation is not None)
+
+
+def cluster_scores(rows: DataFrame, target: str, coef: dict[str, float], alpha: float, offset: str | None, cluster: str) -> DataFrame:
+    """[M13] ``term, clusters, score, meat``: the score at given coefficients, and the sum of its squares over clusters."""
+    names, d = _given(rows, target, coef, offset, cluster)
+    per, k = _cluster_sums(d, target, names, offset, [coef.get("Intercept", 0.0), *[coef[c] for c in names], math.log(alpha)], False)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"s{i}").alias("s")) for i, n in enumerate(["Intercept", *names])]))
+    return per.select(each.alias("x")).groupBy("x.term").agg(F.count("*").alias("clusters"), F.sum("x.s").alias("score"), F.sum(F.col("x.s") * F.col("x.s")).alias("meat"))
+
+
 def predicted_zeros(rows: DataFrame, coef: dict[str, float], alpha: float, offset: str | None = None) -> DataFrame:
     """[M17, M19] ``n, observed_zeros, predicted_zeros``: the sum of (1 / (1 + alpha mu))^(1 / alpha); ``coef`` maps columns to coefficients."""
     eta = F.lit(coef.get("Intercept", 0.0))

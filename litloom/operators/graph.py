@@ -128,9 +128,9 @@ def neighbours(edges: DataFrame, start: DataFrame, kinds: DataFrame | None = Non
     return n if kind is None else n.join(kinds.filter(F.col("type") == kind).select("id"), "id", "left_semi")
 
 
-def peripheral(edges: DataFrame, vertices: DataFrame, k: int = 10) -> DataFrame:
-    """[G23, T4] The k vertices of least centrality; ties by id."""
-    return degree_centrality(edges, vertices).orderBy("centrality", "id").limit(k)
+def peripheral(edges: DataFrame, vertices: DataFrame, k: int = 10, by: str = "centrality") -> DataFrame:
+    """[G23, T4] The k of the given vertices that are least central in the graph, with the vertices' columns; ties by id."""
+    return degree_centrality(edges).join(vertices, "id").orderBy(by, "id").limit(k)
 
 
 def eigenvector(edges: DataFrame, steps: int = 500, tol: float = 1e-6) -> DataFrame:
@@ -313,11 +313,11 @@ def louvain(edges: DataFrame, seed: int = 42, resolution: float = 1.0, most_loca
 
 
 def _moves(e: DataFrame, sweeps: int, resolution: float) -> DataFrame:
-    """Synchronous local moves; lineage is cut in every sweep."""
+    """Synchronous local moves until none is left, ``sweeps`` at most; lineage is cut in every sweep."""
     ways = cut(both_ways(e).filter("a <> b"))
     deg = cut(degrees(e).select("id", F.col("strength").alias("k")))
     total = deg.agg(F.sum("k")).first()[0]
-    com = deg.select("id", F.col("id").alias("c"))
+    com, still = deg.select("id", F.col("id").alias("c")), False
     for i in range(sweeps):
         mass = com.join(deg, "id").groupBy("c").agg(F.sum("k").alias("mass"))
         near = ways.join(com.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("weight").alias("w"))
@@ -328,6 +328,13 @@ def _moves(e: DataFrame, sweeps: int, resolution: float) -> DataFrame:
         way = (F.col("c") <= F.col("mine")) if i % 2 == 0 else (F.col("c") >= F.col("mine"))
         best = g.filter(way).groupBy("a").agg(F.max_by("c", "gain").alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("mine"), F.col("gain"))).alias("stay"))
         best = best.filter(F.col("top") > F.coalesce("stay", F.lit(0.0)) + 1e-12).select(F.col("a").alias("id"), "to")
+        best = cut(best)
+        if not best.limit(1).count():
+            if still:  # neither direction moves a vertex
+                return com
+            still = True
+            continue
+        still = False
         com = cut(com.join(best, "id", "left").select("id", F.coalesce("to", "c").alias("c")))
     return com
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litloom.runtime import blank_trim
+from litloom.runtime import blank_trim, cut
 
 # Candidate delimiters as (name, regular expression).
 CANDIDATES = (
@@ -39,6 +39,7 @@ STRONG = (";", "|", "\n", "·", "//")
 # Particles that begin a family name in lower case.
 PARTICLES = "van|von|de|del|della|di|da|dos|der|den|la|le|el|al"
 QUOTED = r'"(?:[^"]++|"")*+"'
+MOST_SENT = 100_000  # protected values that are sent to every task; a longer list is joined by key
 MARK = "\u0001"  # stands for delimiters of several characters
 
 
@@ -103,11 +104,11 @@ def delimiter_scores(df: DataFrame, text: str | list[str], source: str | None =
         ~F.col("t").rlike("[;|\n·]|\\s(//|&|and)\\s"),
         F.struct(F.lit("").alias("d"), F.array("t").alias("p")),
     )
-    cut = base.select("field", "source", F.explode(F.array(*parts, own)).alias("x")).filter("x is not null").select("field", "source", "x.d", "x.p")
+    split = base.select("field", "source", F.explode(F.array(*parts, own)).alias("x")).filter("x is not null").select("field", "source", "x.d", "x.p")
     # One scan: the first piece of a row carries the row's own figures; empty pieces count only there.
     log_n = F.log(F.greatest(F.size(F.array_remove("p", "")), F.lit(1)))
     first, some = F.col("pos") == 0, F.col("piece") != ""
-    each = cut.select("field", "source", "d", log_n.alias("log_n"), F.posexplode("p")).select("field", "source", "d", "log_n", "pos", F.trim("col").alias("piece"))
+    each = split.select("field", "source", "d", log_n.alias("log_n"), F.posexplode("p")).select("field", "source", "d", "log_n", "pos", F.trim("col").alias("piece"))
     shapes = (
         each.filter(first | some)
         .groupBy("field", "source", "d", F.when(some, _shape(F.col("piece"))).otherwise("").alias("s"))
@@ -201,19 +202,19 @@ def values(text: Column, dialect: Dialect, keep_whole: Column | None = None) ->
     ``keep_whole``: a condition under which weak delimiters do not separate.
     """
 
-    def cut(t: Column, delims: tuple[str, ...], joined: bool) -> Column:
+    def pieces(t: Column, delims: tuple[str, ...], joined: bool) -> Column:
         for name, rx in CANDIDATES:
             if name in delims and len(name) > 1:
                 t = F.regexp_replace(t, rx + r'(?=(?:[^"]*"[^"]*")*[^"]*\z)', MARK)
         return F.regexp_extract_all(t, F.lit(_pattern(delims, joined)), F.lit(1))
 
-    got = cut(text, dialect.strong, dialect.joined)
+    got = pieces(text, dialect.strong, dialect.joined)
     if dialect.weak:
         rx = "|".join(r for n, r in CANDIDATES if n in dialect.strong)
         plain = ~_bare(text).rlike(rx)
         if keep_whole is not None:
             plain = plain & ~keep_whole
-        got = F.when(plain, cut(text, dialect.weak, False)).otherwise(got)
+        got = F.when(plain, pieces(text, dialect.weak, False)).otherwise(got)
     return F.filter(F.transform(got, lambda v: _clean(v)), lambda v: v != "")
 
 
@@ -271,14 +272,19 @@ def add_values(
         keep, probe = None, f"_whole{i}"
         weak = {x: names for x, names in how.items() if x.weak}
         if weak:
-            whole = _any_protected(df.select(src.alias("_s"), F.col(text).alias("_t")), weak)
             asks = F.lit(False)
             for x, names in weak.items():
                 asks = asks | (src.isin(*names) & ~t.rlike("|".join(r for n, r in CANDIDATES if n in x.strong)))
+            asks = asks & t.contains(",")
+            key = F.lower(F.regexp_replace(blank_trim(t), r"(?U)\s+", " "))
+            # Of the protected values only those that some text is asked for: a short list as a rule, and then sent to every task.
+            whole = _any_protected(df.select(src.alias("_s"), F.col(text).alias("_t")), weak)
+            whole = cut(whole.join(df.filter(asks).select(key.alias("whole")), "whole", "left_semi"))
+            if whole.limit(MOST_SENT + 1).count() <= MOST_SENT:
+                whole = F.broadcast(whole)
             # Texts that ask nothing spread over keys that no value has.
             own = F.concat(F.lit(MARK), F.xxhash64(t).cast("string"))
-            key = F.when(t.contains(",") & asks, F.lower(F.regexp_replace(blank_trim(t), r"(?U)\s+", " "))).otherwise(own)
-            out = out.withColumn(probe, key).join(whole.select(F.col("whole").alias(probe), F.lit(True).alias(f"_keep{i}")), probe, "left")
+            out = out.withColumn(probe, F.when(asks, key).otherwise(own)).join(whole.select(F.col("whole").alias(probe), F.lit(True).alias(f"_keep{i}")), probe, "left")
             keep = F.coalesce(F.col(f"_keep{i}"), F.lit(False))
         expr = values(t, Dialect(joined=text in joined))
         for x, names in how.items():

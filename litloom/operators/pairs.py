@@ -6,22 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pair_counts(rows: DataFrame, container: str, item: str, least: int = 1) -> DataFrame:
+TILE = 2048  # items of a container whose pairs one task forms at once
+
+
+def pair_counts(rows: DataFrame, container: str, item: str, least: int = 1, tile: int = TILE) -> DataFrame:
     """[J7-J11, U4, F12] ``src, dst, weight``: containers that two items share, src < dst.
 
-    Items count once per container.  Pairs are formed from one sorted array
-    per container (no self-join, one shuffle), and only of items in ``least``
-    containers or more: others can't reach the weight.  Nulls form no pair.
-    A container's pairs leave its task in a stream, so its array of distinct
-    items is all that must fit in memory.
+    Items count once per container.  Pairs are formed from sorted arrays (no
+    self-join), and only of items in ``least`` containers or more: others can't
+    reach the weight.  Nulls form no pair.  A container of more than ``tile``
+    items is split by hash into tiles, and every two of its tiles are one
+    array of their own, so that no task forms all its pairs; the result is the
+    same.
     """
     d = rows.select(F.col(container).alias("c"), F.col(item).alias("i")).filter("c is not null and i is not null").distinct()
     if least > 1:
         d = d.join(d.groupBy("i").count().filter(F.col("count") >= least).select("i"), "i")
-    lists = d.groupBy("c").agg(F.array_sort(F.collect_list("i")).alias("a")).filter(F.size("a") > 1)
-    first = lists.select("a", F.posexplode("a").alias("p", "src"))
-    two = first.select("src", F.explode(F.slice("a", F.col("p") + 2, F.size("a"))).alias("dst"))
-    return two.groupBy("src", "dst").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    sizes = d.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c", F.ceil(F.col("n") / tile).alias("tiles"))
+    d = d.join(sizes, "c").withColumn("t", F.pmod(F.xxhash64("i"), F.col("tiles")))
+    d = d.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    x, y, t = F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), F.col("t")
+    one = F.col("x") == F.col("y")
+    mine, other = F.when(t == F.col("x"), F.col("i")), F.when(~one & (t == F.col("y")), F.col("i"))
+    lists = d.select("c", "i", "t", x, y).groupBy("c", "x", "y").agg(F.array_sort(F.collect_list(mine)).alias("a"), F.collect_list(other).alias("b"))
+    first = lists.select(one.alias("one"), "a", "b", F.posexplode("a").alias("p", "u"))
+    # Within a tile each item meets those after it, across two tiles all of the other.
+    two = first.select("u", F.explode(F.when(F.col("one"), F.slice("a", F.col("p") + 2, F.size("a"))).otherwise(F.col("b"))).alias("v"))
+    return two.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
 
 
 def supported(rows: DataFrame, item: str, least: int = 2, container: str | None = None) -> DataFrame:

@@ -26,6 +26,12 @@ def token_lists(rows: DataFrame, key: str, body: str, two: bool = False) -> Data
     return t.filter(F.size("words") > 0)
 
 
+def vocabulary(lists: DataFrame, key: str, min_df: int = 2) -> DataFrame:
+    """[P35] ``term, uses, n_docs`` of terms in ``min_df`` documents or more; summed per document before anything moves on."""
+    per = lists.select(key, F.explode("words").alias("term")).groupBy("term", key).agg(F.count("*").alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("uses"), F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_df)
+
+
 def vectors(lists: DataFrame, key: str, size: int = 1 << 12) -> DataFrame:
     """[M2] ``key, vector``: hashed tf-idf of length 1, in place of a sentence model."""
     tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=size).transform(lists)

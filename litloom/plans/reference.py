@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litloom.functions import refs, text
-from litloom.operators import agreement, corpus, countreg, coverage, graph, knowledge, pairs, similarity, stats, temporal, topics
+from litloom.operators import agreement, corpus, countreg, coverage, graph, pairs, similarity, stats, temporal, topics
 from litloom.runtime import cut, table
 
 QUERIES: dict = {}
@@ -142,25 +142,6 @@ def wos_reference_fields(spark, sf_dir):
     return d.select("cite_id", "r.doi", "r.year", "r.first_author", "r.token")
 
 
-@query()
-def scopus_reference_fields(spark, sf_dir):
-    """[P20-P23] Segmented and parsed Scopus reference strings, with key and label."""
-    d = table(spark, sf_dir, "papers").filter("source_db = 'Scopus'").select("record_id", F.posexplode(refs.scopus_references(F.col("references_text"))).alias("pos", "r"))
-    return d.select("record_id", "pos", "r.doi", "r.year", "r.first_author", "r.token", refs.cited_key(F.col("r")).alias("key"), refs.reference_label(F.col("r")).alias("label"))
-
-
-@query()
-def cited_work_labels(spark, sf_dir):
-    """[P24-P28, K4, A32] Display labels of the cited works of all rows."""
-    p = corpus.with_references(table(spark, sf_dir, "papers"))
-    stored = corpus.label_map(p)
-    chunks = p.filter("source_db = 'Scopus'").select(F.explode(refs.reference_chunks(F.col("references_text"))).alias("c"))
-    one = chunks.withColumn("k", refs.cited_keys(refs.scopus_references(F.col("c")))).filter(F.size("k") == 1)
-    first = agreement.label_votes(one.select(F.col("k")[0].alias("key"), refs.chunk_label(F.col("c")).alias("first_label")), "key", "first_label")
-    d = stored.join(first, "key", "left")
-    return d.select("key", refs.display_label(F.col("key"), F.col("first_label"), F.col("label")).alias("label"))
-
-
 @query(f"""SELECT record_id, year, round(greatest({2026 + 153 / 365!r} - CASE WHEN year >= 2026 THEN year + {153 / 730!r} ELSE year + 0.5 END, 0.05)::DOUBLE, 6) AS exposure,
  round(ln(greatest({2026 + 153 / 365!r} - CASE WHEN year >= 2026 THEN year + {153 / 730!r} ELSE year + 0.5 END, 0.05)::DOUBLE), 6) AS log_exposure,
  is_oa, is_article, author_count, keyword_count, venue FROM (
@@ -196,20 +177,6 @@ def screen_flags(spark, sf_dir):
     return corpus.screened(table(spark, sf_dir, "papers")).select("record_id", "in_years", "has_ai", "has_plag", "bad_type", "is_focus", "is_relevant")
 
 
-@query(f"""WITH {KEYED}, g AS (SELECT key, bool_or(source_db = 'Scopus') AS a, bool_or(source_db = 'WoS') AS b,
- arg_max(record_id, (CASE WHEN (references_text IS NOT NULL AND trim(references_text) <> '') OR coalesce(len(cr_list), 0) > 0 THEN 1 ELSE 0 END)::HUGEINT * 100000000000000000000 + (CASE WHEN source_db = 'Scopus' THEN 1 ELSE 0 END)::HUGEINT * 10000000000000000000 + length(coalesce(abstract, ''))::HUGEINT * 1000000000000 - record_id) AS record_id FROM keyed GROUP BY key),
- s AS ({SCREENED} (SELECT p.*, g.a, g.b FROM papers p JOIN g USING (record_id))),
- f AS (SELECT count(*) AS after_dedup, count_if(a AND b) AS overlap, count_if(in_years) AS after_date, count_if(in_years AND NOT (has_ai AND has_plag)) AS excluded_terms,
-  count_if(in_years AND has_ai AND has_plag AND bad_type) AS excluded_type, count_if(in_years AND has_ai AND has_plag AND NOT bad_type) AS screened, count_if(in_years AND has_ai AND has_plag AND NOT bad_type AND is_focus) AS core FROM s),
- i AS (SELECT count(*) AS identified, count_if(source_db = 'Scopus') AS identified_scopus, count_if(source_db = 'WoS') AS identified_wos FROM papers)
- SELECT name AS stage, value::BIGINT AS n FROM (UNPIVOT (SELECT * FROM f, i) ON COLUMNS(*))""")
-def screening_funnel(spark, sf_dir):
-    """[A1, A6, F8] Rows left after each stage."""
-    p = table(spark, sf_dir, "papers")
-    reps = corpus.screened(corpus.representatives(corpus.dedup_groups(p, near=False)))
-    return corpus.funnel(p, reps)
-
-
 _SEEDED = f"""({_DOI.format('p.doi')} <> '' AND {_DOI.format('p.doi')} IN (SELECT {_DOI.format('doi')} FROM enriched_data)) OR ({_TITLE.format('p.title')} <> '' AND {_TITLE.format('p.title')} IN (SELECT {_TITLE.format('title')} FROM enriched_data))"""
 
 
@@ -365,27 +332,12 @@ def country_collaboration(spark, sf_dir):
     return pairs.pair_counts(_papers_items(spark, sf_dir, "country_list"), "record_id", "item")
 
 
-@query(_pairs_sql("t AS (SELECT record_id, unnest(cr_list) AS item FROM papers),", "item", "record_id", 2))
-def coupling_edges(spark, sf_dir):
-    """[J7, F12] Papers that share two cited works or more."""
-    d = table(spark, sf_dir, "papers").select("record_id", F.explode("cr_list").alias("item"))
-    return pairs.pair_counts(d, "item", "record_id", 2)
-
-
 @query(_pairs_sql("t AS (SELECT l_partkey, l_orderkey FROM lineitem),", "l_partkey", "l_orderkey", 2))
 def order_coupling(spark, sf_dir):
     """[J7] Orders that share two parts or more."""
     return pairs.pair_counts(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", 2)
 
 
-@query("""WITH t AS (SELECT record_id, unnest(cr_list) AS item FROM papers), k AS (SELECT item FROM t WHERE item IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, item LIMIT 30), u AS (SELECT DISTINCT record_id AS c, item AS i FROM t WHERE item IN (SELECT item FROM k))
- SELECT a.i AS src, b.i AS dst, count(*) AS weight FROM u a JOIN u b ON a.c = b.c AND a.i < b.i GROUP BY 1, 2""")
-def cocitation_top30(spark, sf_dir):
-    """[A11, J8, G2] Co-citation among the thirty works cited most."""
-    d = table(spark, sf_dir, "papers").select("record_id", F.explode("cr_list").alias("item"))
-    return pairs.among_top(d, "record_id", "item", 30)
-
-
 @query(_pairs_sql("t AS (SELECT l_orderkey, l_partkey FROM lineitem),", "l_orderkey", "l_partkey", 1))
 def part_cooccurrence(spark, sf_dir):
     """[J9] Parts ordered together."""
@@ -467,22 +419,11 @@ def louvain_communities(spark, sf_dir):
 @query()
 def louvain_without_seed_terms(spark, sf_dir):
     """[F17, G20] The same without the terms of the search itself."""
+    # The terms of the search itself.
     seeds = ["artificial intelligence", "plagiarism", "plagiarism detection", "ai", "generative ai", "artificial intelligence (ai)"]
     return graph.louvain(graph.without(_keyword_graph(spark, sf_dir), seeds))
 
 
-@query()
-def eigenvector_centrality(spark, sf_dir):
-    """[G15] Eigenvector centrality of countries."""
-    return graph.eigenvector(_country_graph(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
-
-
-@query()
-def betweenness_centrality(spark, sf_dir):
-    """[G14] Betweenness of countries, co-occurrence read as length."""
-    return graph.betweenness(_country_graph(spark, sf_dir), weighted=True).withColumn("betweenness", F.round("betweenness", 6))
-
-
 _KWE = f"{DERIVED}, u AS (SELECT DISTINCT record_id AS c, unnest(all_kw) AS i FROM derived), e AS (SELECT a.i AS src, b.i AS dst, count(*) AS weight FROM u a JOIN u b ON a.c = b.c AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 2), n AS (SELECT i AS id, count(*) AS n FROM u GROUP BY 1)"
 
 
@@ -531,7 +472,7 @@ def yearly_top_keywords(spark, sf_dir):
 
 @query(f"WITH {_TOPS} SELECT a.item, b.year, coalesce(t.n, 0) AS n FROM (SELECT DISTINCT item FROM t) a CROSS JOIN (SELECT DISTINCT year FROM t) b LEFT JOIN t ON t.item = a.item AND t.year = b.year")
 def theme_matrix(spark, sf_dir):
-    """[U7, T6] Yearly top keywords as a filled matrix."""
+    """[U7] Yearly top keywords as a filled matrix."""
     return temporal.theme_matrix(cut(yearly_top_keywords(spark, sf_dir)))
 
 
@@ -553,14 +494,6 @@ def coauthor_series(spark, sf_dir):
     return s.select("year", "n", "m", r6(F.col("density"), "density"), r6(F.col("avg_degree"), "avg_degree"))
 
 
-@query()
-def coauthor_shapes(spark, sf_dir):
-    """[A35, G12, G13] Clustering and components of the co-author network up to each year."""
-    d = derived(spark, sf_dir)
-    e = cut(d.select("year", F.col("author_id_list").alias("x"), F.posexplode("author_id_list").alias("p", "src")).select("year", "src", F.explode(F.slice("x", F.col("p") + 2, F.size("x"))).alias("dst")).filter("src <> dst"))
-    return temporal.network_shapes(e, cut(d.select("year", F.explode("author_id_list").alias("id"))))
-
-
 @query("SELECT year(o_orderdate)::INTEGER AS year, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY 1")
 def order_years(spark, sf_dir):
     """[A14] Orders per year."""
@@ -670,34 +603,6 @@ def article_share(spark, sf_dir):
 _KG = f"{DERIVED}, k AS (SELECT record_id, unnest(all_kw) AS kw FROM derived), s AS (SELECT kw FROM k GROUP BY 1 HAVING count(*) >= 2)"
 
 
-@query(f"""WITH {_KG} SELECT 'Paper' AS type, count(*) AS n FROM derived UNION ALL SELECT 'Author', count(DISTINCT x) FROM (SELECT unnest(author_id_list) AS x FROM derived) UNION ALL SELECT 'Institution', count(DISTINCT substr(x, 1, 40)) FROM (SELECT unnest(institution_list) AS x FROM derived)
- UNION ALL SELECT 'Country', count(DISTINCT x) FROM (SELECT unnest(country_list) AS x FROM derived) UNION ALL SELECT 'Keyword', count(*) FROM s UNION ALL SELECT 'Venue', count(DISTINCT substr(source_title, 1, 40)) FROM derived UNION ALL SELECT 'Year', count(DISTINCT year) FROM derived
- UNION ALL SELECT 'Technology', nullif(count(DISTINCT t), 0) FROM k, (SELECT unnest([{', '.join(f"'{t}'" for t in knowledge.TECHNOLOGIES)}]) AS t) WHERE contains(kw, t) UNION ALL SELECT 'Method', nullif(count(DISTINCT t), 0) FROM k, (SELECT unnest([{', '.join(f"'{t}'" for t in knowledge.METHODS)}]) AS t) WHERE contains(kw, t)""")
-def kg_node_counts(spark, sf_dir):
-    """[G6, A33] Nodes per type."""
-    return stats.frequencies(knowledge.nodes(derived(spark, sf_dir)), "type")
-
-
-@query(f"""WITH {_KG} SELECT 'AUTHORED_BY' AS relation, sum(len(author_id_list))::BIGINT AS n FROM derived UNION ALL SELECT 'PUBLISHED_IN', count(source_title) FROM derived UNION ALL SELECT 'PUBLISHED_IN_YEAR', count(*) FROM derived
- UNION ALL SELECT 'USES_KEYWORD', count(*) FROM k WHERE kw IN (SELECT kw FROM s) UNION ALL SELECT 'MENTIONS_TECHNOLOGY', count(*) FROM k, (SELECT unnest([{', '.join(f"'{t}'" for t in knowledge.TECHNOLOGIES)}]) AS t) WHERE contains(kw, t)
- UNION ALL SELECT 'USES_METHOD', count(*) FROM k, (SELECT unnest([{', '.join(f"'{t}'" for t in knowledge.METHODS)}]) AS t) WHERE contains(kw, t) UNION ALL SELECT 'AFFILIATED_WITH', sum(len(author_id_list) * len(institution_list))::BIGINT FROM derived
- UNION ALL SELECT 'LOCATED_IN', count(*) FROM (SELECT DISTINCT substr(i, 1, 40), unnest(country_list) FROM (SELECT unnest(institution_list) AS i, country_list FROM derived)) UNION ALL SELECT 'CO_OCCURS_WITH', count(*) FROM (SELECT * FROM k WHERE kw IN (SELECT kw FROM s)) a JOIN (SELECT * FROM k WHERE kw IN (SELECT kw FROM s)) b ON a.record_id = b.record_id AND a.kw < b.kw
- UNION ALL SELECT 'COLLABORATES_WITH', sum(len(author_id_list) * (len(author_id_list) - 1) / 2)::BIGINT FROM derived""")
-def kg_edge_counts(spark, sf_dir):
-    """[G7, A33] Edges per relation, as a bag."""
-    return stats.frequencies(knowledge.edges(derived(spark, sf_dir)), "relation")
-
-
-@query()
-def kg_peripheral_papers(spark, sf_dir):
-    """[G8, G22, G23, T4] The ten papers of least centrality in the simple view."""
-    d = derived(spark, sf_dir)
-    e = cut(graph.simple(knowledge.edges(d)))
-    c = graph.degree_centrality(e)
-    papers = knowledge.nodes(d).filter("type = 'Paper'").select("id", "label")
-    return c.join(papers, "id").orderBy("centrality", "id").limit(10)
-
-
 # --- Similarity, topics, regression ------------------------------------------
 
 

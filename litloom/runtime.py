@@ -6,7 +6,9 @@ to the folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         own = os.path.join(tempfile.gettempdir(), f"litloom-{uuid.uuid4().hex}")
         sc.setCheckpointDir(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
         return own
     return have.get()
 
@@ -47,8 +50,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def blank_trim(col):

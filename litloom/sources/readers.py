@@ -81,6 +81,8 @@ def parse_tagged(content: str) -> Iterator[dict[str, list[str]]]:
 
 
 class TaggedReader(DataSourceReader):
+    """One partition per file; files are opened through Arrow, by path or URI (a local path, hdfs, s3 ...)."""
+
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
 
@@ -88,10 +90,14 @@ class TaggedReader(DataSourceReader):
         return [InputPartition((i, p)) for i, p in enumerate(self.paths)]
 
     def read(self, partition):
+        from pyarrow import fs
+
         i, path = partition.value
-        with open(path, encoding="utf-8-sig") as f:
-            for j, r in enumerate(parse_tagged(f.read())):
-                yield (i, path, j, {k: [v for v in vs if v] for k, vs in r.items()})
+        files, at = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", path))) if ":" in path else (fs.LocalFileSystem(), path)
+        with files.open_input_stream(at) as f:
+            content = f.read().decode("utf-8-sig", "replace")
+        for j, r in enumerate(parse_tagged(content)):
+            yield (i, path, j, {k: [v for v in vs if v] for k, vs in r.items()})
 
 
 class TaggedSource(DataSource):
@@ -258,5 +264,8 @@ def graph_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """[S17] Arrays written in a page, as a frame."""
-    return spark.createDataFrame(rows, schema)
+    """[S17] Arrays written in a page, as a frame; a row shorter than the schema ends in nulls, a longer one is refused."""
+    n = len(spark.createDataFrame([], schema).columns)
+    if any(len(r) > n for r in rows):
+        raise ValueError(f"a row has more than {n} values")
+    return spark.createDataFrame([(*r, *[None] * (n - len(r))) for r in rows], schema)

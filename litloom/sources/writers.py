@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_ROWS = 1_000_000  # rows that a document written by the driver may have
@@ -19,7 +19,8 @@ def write_table(rows: DataFrame, path: str, by: list[str] | None = None) -> None
 
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     """[K2] CSV with a header, of the columns that exist."""
-    rows.select(*[c for c in columns if c in rows.columns]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    w = rows.select(*[c for c in columns if c in rows.columns]).write.mode("overwrite").option("header", True).option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def _rows(d: DataFrame) -> list:
@@ -29,10 +30,21 @@ def _rows(d: DataFrame) -> list:
     return got
 
 
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """One document of the driver's, on any file system Spark writes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_document(path: str, parts: dict[str, DataFrame]) -> None:
     """[K3] Small frames as one JSON document; values JSON lacks become text."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({k: [r.asDict(recursive=True) for r in _rows(d)] for k, d in parts.items()}, f, indent=1, default=str)
+    spark = next(iter(parts.values())).sparkSession
+    write_text(spark, path, json.dumps({k: [r.asDict(recursive=True) for r in _rows(d)] for k, d in parts.items()}, indent=1, default=str))
 
 
 def write_graphml(path: str, vertices: DataFrame, edges: DataFrame) -> None:
@@ -40,21 +52,17 @@ def write_graphml(path: str, vertices: DataFrame, edges: DataFrame) -> None:
     vs, es = _rows(vertices), _rows(edges)
     va = [c for c in vertices.columns if c != "id"]
     ea = [c for c in edges.columns if c not in ("src", "dst")]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for kind, names in (("node", va), ("edge", ea)):
-            for c in names:
-                f.write(f'<key id="{kind[0]}_{c}" for="{kind}" attr.name={quoteattr(c)} attr.type="string"/>\n')
-        f.write('<graph edgedefault="undirected">\n')
-
-        def data(r, names, kind):
-            return "".join(f'<data key="{kind}_{c}">{escape(str(r[c]))}</data>' for c in names if r[c] is not None)
-
-        for r in vs:
-            f.write(f"<node id={quoteattr(str(r['id']))}>{data(r, va, 'n')}</node>\n")
-        for r in es:
-            f.write(f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}>{data(r, ea, 'e')}</edge>\n")
-        f.write("</graph>\n</graphml>\n")
+    out = ['<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n']
+    for kind, names in (("node", va), ("edge", ea)):
+        out += [f'<key id="{kind[0]}_{c}" for="{kind}" attr.name={quoteattr(c)} attr.type="string"/>\n' for c in names]
+    out.append('<graph edgedefault="undirected">\n')
+
+    def data(r, names, kind):
+        return "".join(f'<data key="{kind}_{c}">{escape(str(r[c]))}</data>' for c in names if r[c] is not None)
+
+    out += [f"<node id={quoteattr(str(r['id']))}>{data(r, va, 'n')}</node>\n" for r in vs]
+    out += [f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}>{data(r, ea, 'e')}</edge>\n" for r in es]
+    write_text(vertices.sparkSession, path, "".join([*out, "</graph>\n</graphml>\n"]))
 
 
 def show(rows: DataFrame, n: int = 20, *order) -> None:

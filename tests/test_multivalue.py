@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from litloom.operators.multivalue import Dialect, add_values, infer_delimiters, split_values, values
+from litloom.operators.multivalue import Dialect, add_values, infer_delimiters, infer_dialects, split_values, values
 
 KEYWORDS = Dialect((";", "|", "\n", "·"), (",",))
 NAMES = Dialect((";", "|", "\n", "&", "and"))
@@ -91,3 +91,13 @@ def test_all_values_of_the_small_tables(spark, sf):
     assert d.columns == ["record_id", "field_name", "pos", "val"]
     assert d.filter("val = '' or val is null or pos < 1").count() == 0
     assert d.groupBy("record_id", "field_name", "pos").count().filter("count > 1").count() == 0
+
+
+def test_one_scan_infers_all_fields(spark):
+    rows = [(i, "S" if i % 2 else "T", "; ".join(f"Name {i}, Al" for _ in range(3)), " | ".join(f"word {k}" for k in range(4))) for i in range(40)] + [(99, None, None, "")]
+    d = spark.createDataFrame(rows, "k long, s string, a string, b string")
+    how = infer_dialects(d, ["a", "b"], "s")
+    assert how == {"a": infer_delimiters(d, "a", "s"), "b": infer_delimiters(d, "b", "s")}
+    assert how["a"]["S"].strong == (";",) and how["b"]["T"].strong == ("|",)
+    got = add_values(d, {"a": "x", "b": "y"}, "s").filter("k < 99")
+    assert {(len(r["x"]), len(r["y"])) for r in got.collect()} == {(3, 4)}

@@ -189,3 +189,30 @@ def test_read_through_and_writers(spark, tmp_path):
     assert json.load(open(f"{tmp_path}/d.json"))["v"][0]["id"] == "a&b"
     writers.write_csv(v, f"{tmp_path}/csv", ["id", "absent"])
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").columns == ["id"]
+
+
+def test_percentiles_are_exact_per_group(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 9)] + [("b", 3.0), ("b", None), (None, 4.0), (None, 8.0), ("c", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["median"]) for r in stats.group_summary(d, "g", "v").collect()}
+    assert got == {"a": (4, 3.0), "b": (2, 3.0), None: (2, 6.0), "c": (1, None)}
+    s = stats.summary(d, "v").first()
+    assert (s["n"], s["q25"], s["median"], s["q75"]) == (7, 2.0, 4.0, 6.5)
+    e = stats.summary(d.limit(0), "v").first()
+    assert e["n"] == 0 and e["median"] is None
+
+
+def test_pairs_of_large_containers_in_tiles(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from litloom.operators import pairs
+
+    rows = [("hot", f"i{k:03d}") for k in range(90)] + [(f"c{k % 7}", f"i{k:03d}") for k in range(60)] + [("hot", "i001"), (None, "i1"), ("c1", None)]
+    d = spark.createDataFrame(rows, "c string, i string")
+    want = Counter()
+    for c in {r[0] for r in rows if r[0]}:
+        want.update(combinations(sorted({i for x, i in rows if x == c and i}), 2))
+    for least in (1, 2):
+        for tile in (8, 2048):
+            assert {(r["src"], r["dst"]): r["weight"] for r in pairs.pair_counts(d, "c", "i", least, tile).collect()} == {p: n for p, n in want.items() if n >= least}
