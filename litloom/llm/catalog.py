@@ -165,6 +165,99 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_report(truncation.truncated(table(spark, sf_dir, "documents")))
 
 
+# --- The operators where SQL can say the whole result ---------------------------
+
+
+def p1_latest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest counts of groups given by the accession number."""
+    p = table(spark, sf_dir, "papers")
+    ut = F.trim("wos_ut")
+    first = p.filter(ut != "").groupBy(ut.alias("ut")).agg(F.min("record_id").alias("group_id"))
+    groups = p.select("record_id", ut.alias("ut")).join(first, "ut").select("record_id", "group_id")
+    return survivors.latest_count(p, groups).select("group_id", "record_id")
+
+
+LATEST_SQL = """WITH t AS (SELECT record_id, exported_at, trim(wos_ut) AS ut, regexp_replace(coalesce(cited_by, ''), '\\s+', '', 'g') AS c FROM papers), n AS (SELECT record_id, exported_at, ut, min(record_id) OVER (PARTITION BY ut) AS group_id, count(*) OVER (PARTITION BY ut) AS size,
+  CASE WHEN regexp_full_match(c, '\\d{1,3}(,\\d{3})+(\\.0+)?') THEN replace(c, ',', '') ELSE c END AS c FROM t WHERE ut <> ''), v AS (SELECT group_id, record_id, exported_at, CASE WHEN regexp_full_match(c, '\\d{1,15}(\\.\\d+)?') THEN c::DOUBLE END AS n FROM n WHERE size >= 2),
+ h AS (SELECT group_id, n, min(record_id) AS record_id, max(exported_at) AS latest FROM v WHERE n IS NOT NULL GROUP BY 1, 2) SELECT group_id, record_id FROM h QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY latest DESC, n DESC) = 1"""
+
+
+def p2_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year, volume and page as they are read from the lines of one list."""
+    d = linkage.wos_attributes(table(spark, sf_dir, "wos_cited"), "cite_id", "cr_line")
+    return d.select(F.col("id").alias("cite_id"), "year", "volume", "page")
+
+
+ATTRIBUTES_SQL = """SELECT cite_id, try_cast(nullif(regexp_extract(t, ',\\s*((?:18|19|20)\\d\\d)(?:,|$)', 1), '') AS INTEGER) AS year, try_cast(nullif(regexp_extract(t, '(?i),\\s*V\\s?(\\d{1,6})(?:\\D|$)', 1), '') AS INTEGER) AS volume,
+ try_cast(nullif(regexp_extract(t, '(?i),\\s*P\\s?(\\d{1,8})(?:\\D|$)', 1), '') AS INTEGER) AS page FROM (SELECT cite_id, regexp_replace(trim(coalesce(cr_line, '')), '\\s+', ' ', 'g') AS t FROM wos_cited)"""
+
+
+def p4_own_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of both lists mapped by its own name."""
+    out = None
+    for name, column, matcher in (("institutions_ref", "inst_name", canonical.institution_matcher), ("keywords_ref", "keyword", canonical.keyword_matcher)):
+        ref = table(spark, sf_dir, name)
+        part = canonical.map_values(ref.select(F.col("ref_id").alias("row_id"), F.col(column).alias("val")), canonical.read_entries(ref, "ref_id", column), matcher).select("row_id", "ref_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p5_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts ordered together twice or more and five times as often as chance."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("items"))
+    return cooccurrence.item_pairs(lines, "l_orderkey", least_together=2, heavy_share=4096).withColumn("lift", F.round("lift", 6))
+
+
+PARTS_SQL = """WITH t AS (SELECT DISTINCT l_orderkey AS c, l_partkey::VARCHAR AS i FROM lineitem), n AS (SELECT count(DISTINCT c) AS n FROM t), k AS (SELECT i, count(*) AS k FROM t GROUP BY 1), p AS (SELECT a.i AS item_a, b.i AS item_b, count(*) AS n_ab FROM t a JOIN t b ON a.c = b.c AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT item_a, item_b, x.k AS n_a, y.k AS n_b, n_ab, round(n_ab * n::DOUBLE / (x.k * y.k), 6) AS lift FROM p JOIN k x ON x.i = item_a JOIN k y ON y.i = item_b, n WHERE n_ab * n >= 5 * x.k * y.k"""
+
+
+def p6_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable labels after repeated and revised codings are resolved, per dim and label."""
+    coding = table(spark, sf_dir, "taxonomy_coding")
+    votes = consensus.latest_votes(coding, "paper_id", "coder_id", {d: d for d in LABELS}, "coded_at", "coding_id", LABELS)
+    return votes.groupBy("dim", "label").agg(F.count("*").alias("n"))
+
+
+VOTES_SQL = f"SELECT dim, label, count(*) AS n FROM ({_label_sql('orientation')} UNION ALL {_label_sql('methodology')}) GROUP BY 1, 2"
+
+
+def p7_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses, texts and bands of every word of documents."""
+    docs = table(spark, sf_dir, "documents")
+    counts = term_counts.term_counts(docs.select(F.split("text", r"[ \t\n\f\r]+").alias("items")))
+    return term_counts.band_terms(counts, docs.count())
+
+
+WORDS_SQL = """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\n\\f\\r]+')) AS term FROM documents WHERE text IS NOT NULL), c AS (SELECT term, count(*) AS uses, count(DISTINCT doc_id) AS n_rows FROM w WHERE term <> '' GROUP BY 1)
+ SELECT *, CASE WHEN n_rows <= 2 THEN 'rare' WHEN n_rows > 0.1 * (SELECT count(*) FROM documents) THEN 'common' ELSE 'useful' END AS band FROM c"""
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n_tokens"))
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in letters: every text's pieces and letters per capacity, none lost, none cut in vain."""
+    got = packing.pack(_letters(spark, sf_dir), _capacities(spark, sf_dir))
+    return got.groupBy("pack_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("letters"), F.max("n_tokens").alias("longest"))
+
+
+PIECES_SQL = """SELECT pack_id, doc_id, ceil(length(text) / capacity_tokens::DOUBLE)::BIGINT AS pieces, length(text)::BIGINT AS letters, least(length(text), capacity_tokens)::BIGINT AS longest FROM documents, pack_capacities WHERE length(text) > 0 AND capacity_tokens > 0"""
+
+
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in letters: share and amount wanted of every source of every mix."""
+    rows = table(spark, sf_dir, "mix_targets").select("mix_id", "source", "target_share", "max_repeats").collect()  # 18 rows
+    totals = {r["source"]: r["t"] for r in _letters(spark, sf_dir).filter("source is not null and n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # nine sources
+    plan = mixing.plan_mixes([tuple(r) for r in rows], totals)
+    return spark.createDataFrame([(int(p["mix_id"]), p["source"], round(p["share"], 6), round(p["want"], 3)) for p in plan], "mix_id int, source string, share double, want double")
+
+
+PLAN_SQL = """WITH d AS (SELECT source, sum(length(text))::DOUBLE AS t FROM documents WHERE source IS NOT NULL AND length(text) > 0 GROUP BY 1), r AS (SELECT mix_id, source, sum(target_share) AS share, max(max_repeats) AS rep, any_value(t) AS t FROM mix_targets JOIN d USING (source) WHERE target_share > 0 AND max_repeats > 0 GROUP BY 1, 2),
+ w AS (SELECT mix_id, sum(share) AS whole, min(t * rep / share) AS most FROM r GROUP BY 1) SELECT mix_id::INTEGER AS mix_id, source, round(share / whole, 6) AS share, round(least(share / whole * most * whole, t * rep), 3) AS want FROM r JOIN w USING (mix_id)"""
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_survivors": p1_survivors,
@@ -187,5 +280,23 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_sources": p10_sources,
+    "p1_latest_counts": p1_latest_counts,
+    "p2_attributes": p2_attributes,
+    "p4_own_names": p4_own_names,
+    "p5_parts": p5_parts,
+    "p6_votes": p6_votes,
+    "p7_words": p7_words,
+    "p8_pieces": p8_pieces,
+    "p9_plan": p9_plan,
+}
+ORACLES: dict[str, str] = {
+    "p6_agreement": AGREEMENT_SQL,
+    "p1_latest_counts": LATEST_SQL,
+    "p2_attributes": ATTRIBUTES_SQL,
+    "p4_own_names": "SELECT ref_id AS row_id, ref_id FROM institutions_ref UNION ALL SELECT ref_id, ref_id FROM keywords_ref",
+    "p5_parts": PARTS_SQL,
+    "p6_votes": VOTES_SQL,
+    "p7_words": WORDS_SQL,
+    "p8_pieces": PIECES_SQL,
+    "p9_plan": PLAN_SQL,
 }
-ORACLES: dict[str, str] = {"p6_agreement": AGREEMENT_SQL}

@@ -44,7 +44,7 @@ def wos_attributes(lines: DataFrame, key: str, text: str) -> DataFrame:
     t = F.regexp_replace(F.trim(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+", " ")
     parts = F.split(t, r",\s*")
     author = F.element_at(parts, 1)
-    rest = F.filter(F.slice(parts, 2, 50), lambda p: ~p.rlike(r"(?i)^(?:(?:18|19|20)\d\d|[vp]\s?\d+.*|\[?(?:doi\b.*|10\..*)|arxiv.*|in press)$") & (p != ""))
+    rest = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: ~p.rlike(r"(?i)^(?:(?:18|19|20)\d\d|[vp]\s?\d+.*|\[?(?:doi\b.*|10\..*)|arxiv.*|in press)$") & (p != ""))
     return lines.select(
         F.col(key).alias("id"),
         F.nullif(plain(F.regexp_replace(author, r"(?U)\s+\p{Lu}{1,3}\.?$", "")), F.lit("")).alias("surname"),

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from litloom.runtime import cut
 
 GOLDEN = (math.sqrt(5) - 1) / 2
+LEAST_BLOCK = 512  # tokens of a block at least: a few documents
 CHUNK = 1 << 14  # slots of a chunk, and about the documents of a bucket
 
 
@@ -41,7 +42,7 @@ def plan_mixes(targets: list[tuple], totals: dict[str, int], total_tokens: int |
         if not rows:
             continue
         size = min(totals[s] * r[1] * whole / r[0] for s, r in rows.items()) if total_tokens is None else total_tokens
-        block = int(min(1 << 20, max(32, size // 20_000)))
+        block = int(min(1 << 20, max(LEAST_BLOCK, size // 20_000)))
         at = 0.0
         for s in sorted(rows):
             share, rep = rows[s][0] / whole, rows[s][1]

@@ -11,6 +11,7 @@ closing phrases that always run the same.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pandas as pd
@@ -30,7 +31,7 @@ BROKEN = re.compile(r"(?:�|&#?\w{0,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%
 SENTENCE = re.compile(r"[.!?。？！](?:[\"”»’')\]]|</\w+>)*\Z")
 SPLIT = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|\n+")
 LABEL = re.compile(r"(?:[-*•–]\s+\S|—\s*\S|©|[A-Z][\w ]{1,24}:\s*\S|[A-Z]\w+ \d+\s*\|)")
-SCHEMA = "open int, broken boolean, kind string, segment string, lead string, n_chars int, n_bytes int"
+SCHEMA = "open int, broken boolean, kind string, segment string, lead string, n_chars int, n_bytes int"  # segment: a hash of the last sentence, blank if it has fewer than three words
 
 
 def _open_marks(text: str) -> int:
@@ -92,7 +93,9 @@ def inspect(text: str | None) -> tuple:
         kind = "closing"
     elif len(words) <= 9 and len(body) <= 90 and not re.search(r"[,;()\d]|\w[.!?]\s", body) and body[:1].isupper() and text[-1:].strip():
         kind = "heading"
-    return open_marks, broken, kind, segment[:400], first, *size
+    # The whole segment is compared, by its hash; two words are no phrase.
+    phrase = hashlib.blake2b(segment.encode("utf-8", "replace"), digest_size=12).hexdigest() if len(segment.split()) >= 3 else ""
+    return open_marks, broken, kind, phrase, first, *size
 
 
 def _inspect_all(texts: pd.Series) -> pd.DataFrame:
@@ -142,9 +145,9 @@ def truncated(
     )
     limits = limits.select(F.col("_s").alias("_s1"), F.col("c.size").alias("limit_chars"), F.col("b.size").alias("limit_bytes"))
     # Closing phrases: all unterminated ends with the same first two words run the same.
-    tails = seen.filter(loose & (F.col("segment") != "")).groupBy("lead", "segment").agg(F.approx_count_distinct("_h").alias("n"))
+    tails = seen.filter(loose & (F.col("lead") != "")).groupBy("lead", "segment", "_h").agg(F.count("*").alias("c")).groupBy("lead", "segment").agg(F.count("*").alias("n"))
     lead = tails.groupBy("lead").agg(F.sum("n").alias("all_n"), F.max(F.struct("n", "segment")).alias("top"))
-    formula = lead.filter((F.col("top.n") >= least_formula) & (F.col("top.n") >= 0.9 * F.col("all_n")) & F.col("top.segment").rlike(r"\S+\s+\S+\s+\S+"))
+    formula = lead.filter((F.col("top.n") >= least_formula) & (F.col("top.n") >= 0.9 * F.col("all_n")) & (F.col("top.segment") != ""))
     formula = formula.select(F.col("top.segment").alias("segment"), F.lit(True).alias("formula"))
     d = seen.join(limits, F.col("_s").eqNullSafe(F.col("_s1")), "left").join(habit, F.col("_s").eqNullSafe(F.col("_s2")), "left")
     d = d.join(formula, "segment", "left")

@@ -16,7 +16,8 @@ def test_query_equals_sql(spark, sf, name):
     q = con.execute(catalog.ORACLES[name])
     cols = [c[0] for c in q.description]
     assert sorted(cols) == sorted(d.columns)
-    assert sorted(tuple(r[cols.index(c)] for c in sorted(cols)) for r in q.fetchall()) == sorted(tuple(r[c] for c in sorted(cols)) for r in d.collect())
+    want, got = ([tuple(r[cols.index(c)] for c in sorted(cols)) for r in q.fetchall()], [tuple(r[c] for c in sorted(cols)) for r in d.collect()])
+    assert sorted(want, key=repr) == sorted(got, key=repr)
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n.endswith("_found")])
