@@ -30,6 +30,7 @@ class Bins:
     def __init__(self, capacity: int, max_docs: int, max_cost: float, rule: str, weights):
         self.full = np.array([capacity, max_docs, max_cost], float)
         self.rule, self.weights = rule, np.array(weights, float)
+        self.caps, self.ways = self.full.tolist(), self.weights.tolist()
         self.rest = np.empty((1024, 3))
         self.held: list[list[int]] = []
         self.open = np.array([], int)
@@ -44,9 +45,19 @@ class Bins:
             s = ((((rest - need) / self.full) ** 2) * self.weights).sum(axis=1)
         return np.where((rest >= need).all(axis=1), s, np.inf)
 
-    def put(self, b: int, n: int) -> None:
+    def put(self, b: int, n: int) -> float:
+        """``n`` goes into container ``b``; the score for one more of that length."""
         self.held[b].append(n)
-        self.rest[b] -= (n, 1.0, float(n) * n)
+        rest, square = self.rest[b], float(n) * n
+        t, d, a = float(rest[0]) - n, float(rest[1]) - 1.0, float(rest[2]) - square
+        rest[0], rest[1], rest[2] = t, d, a
+        if t < n or d < 1.0 or a < square:
+            return math.inf
+        (ft, fd, fa), (wt, wd, wa) = self.caps, self.ways
+        if self.rule == "dot":
+            return -((t / ft) * (n / ft) * wt + (d / fd) * (1.0 / fd) * wd + (a / fa) * (square / fa) * wa)
+        x, y, z = (t - n) / ft, (d - 1.0) / fd, (a - square) / fa
+        return x * x * wt + y * y * wd + z * z * wa
 
     def new(self) -> int:
         b = len(self.held)
@@ -60,9 +71,10 @@ class Bins:
         """``count`` items of length ``n``, one after the other; ``least`` is the shortest length still to come."""
         self.open = self.open[(self.rest[self.open] >= (least, 1.0, float(least) * least)).all(axis=1)]
         scores = self.score(self.open, n)
-        # Equal items change one container at a time: only its score is computed anew.
-        heap = [(float(s), int(b)) for s, b in zip(scores, self.open, strict=True) if s < np.inf]
-        heapq.heapify(heap)
+        # Equal items change one container at a time: only its score is computed anew,
+        # and of the others the best ``count`` are all that can be taken.
+        best = np.argsort(scores, kind="stable")[:count]
+        heap = [(float(scores[i]), int(self.open[i])) for i in best if scores[i] < np.inf]
         fresh = []
         for _ in range(count):
             if heap:
@@ -70,8 +82,7 @@ class Bins:
             else:
                 b = self.new()  # a first piece always fits
                 fresh.append(b)
-            self.put(b, n)
-            s = float(self.score(np.array([b]), n)[0])
+            s = self.put(b, n)
             if s < math.inf:
                 heapq.heappush(heap, (s, b))
         self.open = np.concatenate([self.open, np.array(fresh, int)])
