@@ -166,9 +166,11 @@ def tokens(c: Column, stop: Sequence[str] = STOP_WORDS, longer_than: int = 2) ->
 
 def ngrams(words: Column, n: int) -> Column:
     """[P35] Word n-grams, joined by a space."""
-    last = F.size(words) - n + 1
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    m = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), m)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(words, F.lit(k), m), lambda a, b: F.concat_ws(" ", a, b))
+    return out
 
 
 def clean_name(c: Column) -> Column:

@@ -122,8 +122,8 @@ def works_round_trip(spark, sf_dir):
     one = F.struct(c("paper_id").alias("id"), "doi", "title", c("document_type").alias("type"), year.alias("publication_year"), F.struct(F.struct(c("source_title").alias("display_name")).alias("source")).alias("primary_location"))
     pages = p.groupBy(F.pmod(F.xxhash64("paper_id"), F.lit(max(1, n // 200))).alias("b")).agg(F.collect_list(one).alias("results"))
     page = F.to_json(F.struct(F.struct(F.lit(n).alias("count"), F.lit(None).cast("string").alias("next_cursor")).alias("meta"), "results"))
-    pages.select(page.alias("value")).write.text(at)
-    return readers.works(spark, at)
+    pages.select("b", page.alias("value")).repartition("b").write.partitionBy("b").text(at)  # one page per file
+    return readers.works(spark, at + "/*/*.txt")
 
 
 @query("SELECT 'steady' AS name, 'ok' AS status, 200.0::DOUBLE AS value, NULL::VARCHAR AS error UNION ALL SELECT 'flaky', 'ok', 3.0, NULL UNION ALL SELECT 'dead', 'error', NULL, 'OSError: down'")
