@@ -29,6 +29,9 @@ TAIL = re.compile(r"(?:\s|</?[A-Za-z][^<>]*>)+\Z")
 ELLIPSIS = re.compile(r"(?:…|\.\.\.|\[\s*(?:…|\.\.\.|more|cont(?:inued|\.)?|truncated)\s*\]|\((?:…|\.\.\.|more)\))\s*\Z", re.I)
 BROKEN = re.compile(r"(?:�|&#?\w{0,8}|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|%[0-9A-Fa-f]?|<[/A-Za-z]?[^<>]*)\Z")
 SENTENCE = re.compile(r"[.!?。？！](?:[\"”»’')\]]|</\w+>)*\Z")
+# For the JVM: a word of four letters or more, its stop, closing marks and blanks at the end; and the words of that length that also stop inside a sentence or a mark.
+WORD_STOP = r"(?:^|[^\p{L}\p{N}.])\p{L}{4,}[.!?][\"”»’')\]]*\s*\z"
+SHORT_STOP = r"(?i)(?:prof|approx|cont)\.[\"”»’')\]]*\s*\z"
 SPLIT = re.compile(r"(?<=[.!?…])[\"”»)\]]*\s+|\n+")
 LABEL = re.compile(r"(?:[-*•–]\s+\S|—\s*\S|©|[A-Z][\w ]{1,24}:\s*\S|[A-Z]\w+ \d+\s*\|)")
 SCHEMA = "open int, broken boolean, kind string, segment string, lead string, n_chars int, n_bytes int"  # segment: a hash of the last sentence, blank if it has fewer than three words
@@ -126,9 +129,12 @@ def truncated(
     own.  Equal texts get equal results in one source.  Whole texts are read.
     """
     look = F.pandas_udf(_inspect_all, SCHEMA)
-    seen = docs.select(F.col(key).alias("_k"), F.col(source).cast("string").alias("_s"), F.xxhash64(text).alias("_h"), look(F.col(text)).alias("_i"))
+    # A text that ends in a word and its stop is terminated, whatever stands open before: only the others need the automaton.
+    t = F.col(text)
+    ends = F.coalesce(t.rlike(WORD_STOP) & ~t.rlike(SHORT_STOP), F.lit(False))
+    seen = docs.select(F.col(key).alias("_k"), F.col(source).cast("string").alias("_s"), F.xxhash64(text).alias("_h"), ends.alias("_e"), look(F.when(~ends, t)).alias("_i"))
     # Read by four aggregations; the texts themselves are not kept.
-    seen = cut(seen.select("_k", "_s", "_h", "_i.*"))
+    seen = cut(seen.select("_k", "_s", "_h", "_e", "_i.*").withColumn("kind", F.when(F.col("_e"), "sentence").otherwise(F.col("kind"))).drop("_e"))
     loose = F.col("kind").isin("none", "ellipsis")
     # The source's habit: its share of unterminated texts.
     habit = seen.filter("kind <> 'empty'").groupBy("_s").agg(F.avg(loose.cast("int")).alias("loose_share")).withColumnRenamed("_s", "_s2")

@@ -48,3 +48,15 @@ def test_field_limit(spark):
 def test_long_and_empty(spark):
     assert truncation.inspect("(" * 5000 + "a" * 100000)[0] == 5000
     assert truncation.truncated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_ends_found_without_the_automaton_are_sentences(spark):
+    from pyspark.sql import functions as F
+
+    words = ["This ends here", "see Prof", "it is approx", "[cont", "one (more", "e.g.thing", "no", "über Größe", "the year 2020", "", "x" * 5000]
+    tails = [".", "!", "...", ".)", '."', ".  \n", ".</p>", "", "…", ".]", "?”", ". 12."]
+    texts = [w + t for w in words for t in tails]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", (F.col("t").rlike(truncation.WORD_STOP) & ~F.col("t").rlike(truncation.SHORT_STOP)).alias("e"))
+    ended = [r["t"] for r in d.collect() if r["e"]]
+    assert "This ends here." in ended and "see Prof." not in ended and len(ended) > 20
+    assert [t for t in ended if truncation.inspect(t)[2] != "sentence"] == []
