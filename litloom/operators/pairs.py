@@ -22,14 +22,16 @@ def pair_counts(rows: DataFrame, container: str, item: str, least: int = 1, tile
     d = rows.select(F.col(container).alias("c"), F.col(item).alias("i")).filter("c is not null and i is not null").distinct()
     if least > 1:
         d = d.join(d.groupBy("i").count().filter(F.col("count") >= least).select("i"), "i")
-    sizes = d.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").select("c", F.ceil(F.col("n") / tile).alias("tiles"))
-    d = d.join(sizes, "c").withColumn("t", F.pmod(F.xxhash64("i"), F.col("tiles")))
-    d = d.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    x, y, t = F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), F.col("t")
+    sizes = d.groupBy("c").agg(F.count("*").alias("n"))
+    few = d.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= tile)).select("c"), "c").groupBy("c").agg(F.array_sort(F.collect_list("i")).alias("a"))
+    many = d.join(sizes.filter(F.col("n") > tile).select("c", F.ceil(F.col("n") / tile).alias("tiles")), "c").withColumn("t", F.pmod(F.xxhash64("i"), F.col("tiles")))
+    many = many.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    many = many.select("c", "i", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).repartition("c", "x", "y")  # else a container's tiles stay together
     one = F.col("x") == F.col("y")
-    mine, other = F.when(t == F.col("x"), F.col("i")), F.when(~one & (t == F.col("y")), F.col("i"))
-    lists = d.select("c", "i", "t", x, y).groupBy("c", "x", "y").agg(F.array_sort(F.collect_list(mine)).alias("a"), F.collect_list(other).alias("b"))
-    first = lists.select(one.alias("one"), "a", "b", F.posexplode("a").alias("p", "u"))
+    mine, other = F.when(F.col("t") == F.col("x"), F.col("i")), F.when(~one & (F.col("t") == F.col("y")), F.col("i"))
+    tiles = many.groupBy("c", "x", "y").agg(F.array_sort(F.collect_list(mine)).alias("a"), F.collect_list(other).alias("b"))
+    lists = few.select(F.lit(True).alias("one"), "a", F.slice("a", 1, 0).alias("b")).unionByName(tiles.select(one.alias("one"), "a", "b"))
+    first = lists.select("one", "a", "b", F.posexplode("a").alias("p", "u"))
     # Within a tile each item meets those after it, across two tiles all of the other.
     two = first.select("u", F.explode(F.when(F.col("one"), F.slice("a", F.col("p") + 2, F.size("a"))).otherwise(F.col("b"))).alias("v"))
     return two.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)

@@ -55,6 +55,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in shared storage, read back: for wide frames of which later steps need few columns each."""
+    at = shared_path(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def blank_trim(col):
     """Trim every Unicode blank, not only U+0020."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
