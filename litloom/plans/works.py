@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litloom.functions import refs, text
-from litloom.operators import agreement, corpus, countreg, graph, pairs, stats, temporal, topics
-from litloom.plans.reference import _DOI, _EDGES, _KWE, _SEEDED, _TITLE, _TOPS, DERIVED, KEYED, SCREENED, _country_graph, _country_vertices, _keyword_counts, _keyword_graph, _pairs_sql, _pieces, derived, query, r6, yearly_top_keywords
+from litloom.operators import agreement, corpus, countreg, coverage, graph, pairs, stats, temporal, topics
+from litloom.plans.reference import _DOI, _EDGES, _KWE, _SCREEN, _SEEDED, _TITLE, _TOPS, DERIVED, KEYED, SCREENED, _any, _country_graph, _country_vertices, _keyword_counts, _keyword_graph, _pairs_sql, _pieces, derived, query, r6, yearly_top_keywords
 from litloom.runtime import cut, table
 
 # --- SQL building blocks: parsed references of every row ----------------------
@@ -200,6 +200,17 @@ def labelled_papers(spark, sf_dir):
     return agreement.looked_up(p.select("paper_id"), codes, clusters, names, "paper_id").select("paper_id", "orientation", "methodology", "cluster", "cluster_label")
 
 
+_TOOLS = [x.lower() for x in coverage.TOOLS]
+_NAMED = ", ".join(f"count_if(contains(t, '{x}')) AS tool_" + "".join(ch if ch.isalnum() else "_" for ch in x) for x in _TOOLS)
+
+
+@query(f"""WITH t AS (SELECT {_SCREEN} AS t FROM papers), n AS (SELECT count(*) AS papers, count_if({_any('t', _TOOLS)}) AS naming_a_tool, count_if({_any('t', _TOOLS)} AND NOT {_any('t', coverage.GENERAL_TERMS)}) AS without_general_term, {_NAMED} FROM t)
+ SELECT *, round(without_general_term / nullif(naming_a_tool, 0)::DOUBLE, 6) AS share_without FROM n""")
+def tool_coverage(spark, sf_dir):
+    """[A26, A28, F13] Papers naming the thirteen tools, with and without a general term."""
+    return coverage.tool_mentions(table(spark, sf_dir, "papers")).withColumn("share_without", F.round("share_without", 6))
+
+
 # --- Subgraphs -------------------------------------------------------------------
 
 
