@@ -130,8 +130,10 @@ def truncated(
     """
     look = F.pandas_udf(_inspect_all, SCHEMA)
     # A text that ends in a word and its stop is terminated, whatever stands open before: only the others need the automaton.
+    # (An end of more than 64 letters, such as many blanks, goes there too.)
     t = F.col(text)
-    ends = F.coalesce(t.rlike(WORD_STOP) & ~t.rlike(SHORT_STOP), F.lit(False))
+    end = F.substring(t, -64, 64)
+    ends = F.coalesce(end.rlike(WORD_STOP) & ~end.rlike(SHORT_STOP), F.lit(False))
     seen = docs.select(F.col(key).alias("_k"), F.col(source).cast("string").alias("_s"), F.xxhash64(text).alias("_h"), ends.alias("_e"), look(F.when(~ends, t)).alias("_i"))
     # Read by four aggregations; the texts themselves are not kept.
     seen = cut(seen.select("_k", "_s", "_h", "_e", "_i.*").withColumn("kind", F.when(F.col("_e"), "sentence").otherwise(F.col("kind"))).drop("_e"))
