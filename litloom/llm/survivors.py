@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litloom.llm.components import components
-from litloom.runtime import blank_trim, cut
+from litloom.runtime import blank_trim, cut, stored
 
 # Texts that stand in for a missing value.
 STAND_INS = r"(?i)^[\W_]*$|^(?:n/?a|none|null|nan|unknown|untitled|\[?no (?:abstract|title)(?: available)?\]?\.?|(?:abstract|title) not available.*)$"
@@ -388,7 +388,7 @@ def survivors(rows: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """
     wide = rows.withColumns({f"_l_{f}": norm_text(F.col(f)) for f in ("title", "abstract")})
     every = {**_identity(wide), **_described(wide, FIELDS, "source_db"), "at": F.col("exported_at"), "n": count_value(F.col("cited_by"))}
-    d = cut(wide.select("record_id", *[v.alias(k) for k, v in every.items()]))
+    d = stored(wide.select("record_id", *[v.alias(k) for k, v in every.items()]))
     if groups is None:
         groups = _groups(d.select("record_id", *_identity(d)))
     groups = cut(groups)
