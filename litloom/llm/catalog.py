@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litloom.llm import canonical, consensus, cooccurrence, items, linkage, mixing, packing, survivors, term_counts, tokens, truncation
 from litloom.operators.multivalue import split_values
-from litloom.runtime import cut, table
+from litloom.runtime import cut, stored, table
 
 
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "papers")
     n = papers.count()
-    d = cut(items.paper_items(papers))  # read by several passes of both kinds
+    d = stored(items.paper_items(papers))  # read by several passes, of one kind each
     parts = [cooccurrence.item_pairs(d, items=f"{kind}s", n_rows=n).select(F.lit(kind).alias("item_kind"), "*") for kind in ("keyword", "reference")]
     return parts[0].unionByName(parts[1])
 
