@@ -22,9 +22,10 @@ def pair_counts(rows: DataFrame, container: str, item: str, least: int = 1, tile
     d = rows.select(F.col(container).alias("c"), F.col(item).alias("i")).filter("c is not null and i is not null").distinct()
     if least > 1:
         d = d.join(d.groupBy("i").count().filter(F.col("count") >= least).select("i"), "i")
-    sizes = d.groupBy("c").agg(F.count("*").alias("n"))
-    few = d.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= tile)).select("c"), "c").groupBy("c").agg(F.array_sort(F.collect_list("i")).alias("a"))
-    many = d.join(sizes.filter(F.col("n") > tile).select("c", F.ceil(F.col("n") / tile).alias("tiles")), "c").withColumn("t", F.pmod(F.xxhash64("i"), F.col("tiles")))
+    hot = d.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("c", F.ceil(F.col("n") / tile).alias("tiles"))
+    # As a rule there is no such container, and adaptive execution drops both joins.
+    few = d.join(hot, "c", "left_anti").groupBy("c").agg(F.array_sort(F.collect_list("i")).alias("a")).filter(F.size("a") > 1)
+    many = d.join(hot, "c").withColumn("t", F.pmod(F.xxhash64("i"), F.col("tiles")))
     many = many.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     many = many.select("c", "i", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).repartition("c", "x", "y")  # else a container's tiles stay together
     one = F.col("x") == F.col("y")
