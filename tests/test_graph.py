@@ -153,3 +153,32 @@ def test_types_keep_inner_edges(spark):
     e = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "src string, dst string, weight long")
     keep, inner = graph.of_types(v, e, "gap")
     assert keep.count() == 2 and [(r["src"], r["dst"]) for r in inner.collect()] == [("a", "b")]
+
+
+def test_shapes_up_to_each_year_without_a_graph_per_year(spark):
+    from litloom.operators import temporal
+
+    r = random.Random(5)
+    seen = [(*r.sample(range(40), 2), 2000 + r.randint(0, 11)) for _ in range(130)] + [(7, 7, 2003), (50, 51, 2004), (51, 50, 2009)]
+    ids = [(v, y) for a, b, y in seen for v in (a, b)] + [(90, 2001), (91, 2030)]
+    born = {v: min(y for u, y in ids if u == v) for v, _ in ids}
+    want = {}
+    for year in set(born.values()):
+        n = neighbours([x for x in seen if x[2] <= year])
+        now = [v for v, y in born.items() if y <= year]
+        c = [2 * sum(b in n[a] for a, b in itertools.combinations(n[v], 2)) / (len(n[v]) * (len(n[v]) - 1)) if len(n[v]) > 1 else 0 for v in now]
+        left, parts = set(now), 0
+        while left:
+            todo, parts = [left.pop()], parts + 1
+            while todo:
+                new = n[todo.pop()] & left
+                left -= new
+                todo += new
+        want[year] = (round(sum(c) / len(now), 9), parts)
+    sc = spark.sparkContext
+    sc.setJobGroup("shapes", "")
+    got = temporal.network_shapes(spark.createDataFrame(seen, "src long, dst long, year int"), spark.createDataFrame(ids, "id long, year int")).collect()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("shapes"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {x["year"]: (round(x["avg_clustering"], 9), x["n_components"]) for x in got} == want
+    assert len(want) > 4 and jobs < 100  # a graph for each year took hundreds
