@@ -182,3 +182,20 @@ def test_shapes_up_to_each_year_without_a_graph_per_year(spark):
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert {x["year"]: (round(x["avg_clustering"], 9), x["n_components"]) for x in got} == want
     assert len(want) > 4 and jobs < 100  # a graph for each year took hundreds
+
+
+def test_coupled_counts_what_is_shared_and_moves_no_pairs(spark):
+    r = random.Random(9)
+    works = {p: set(r.sample(range(300), r.randint(0, 5))) | {w for w in range(8) if r.random() < 0.3} for p in range(150)}
+    works[150], works[151] = set(range(0, 290, 3)), set(range(0, 300, 2))
+    rows = [(f"w{w}", p) for p, ws in works.items() for w in ws] + [("w1", 3), ("w1", 3), (None, 4), ("w2", None)]
+    works[3].add(1)
+    want = {(a, b): len(works[a] & works[b]) for a, b in itertools.combinations(works, 2) if len(works[a] & works[b]) > 1}
+    d = spark.createDataFrame(rows, "c string, i long")
+    for tile, most in ((2048, 64), (8, 64), (8, 4), (2048, 1)):
+        got = [tuple(x) for x in pairs.coupled(d, "c", "i", tile, most).collect()]
+        assert len(got) == len(want) and {x[:2]: x[2] for x in got} == want
+    # 400 papers that share one work each with all others: their pairs are never formed.
+    lone = spark.createDataFrame([("hub", i) for i in range(400)] + [("x", 1), ("x", 2)], "c string, i long")
+    got = pairs.coupled(lone, "c", "i")
+    assert [tuple(x) for x in got.collect()] == [(1, 2, 2)]
