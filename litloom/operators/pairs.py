@@ -49,8 +49,8 @@ def coupled(rows: DataFrame, container: str, item: str, tile: int = SIDE, most:
     Nothing is formed or moved for two items that share one container only:
     items meet in every *pair* of containers they have in common, and come
     out where these are the first two they share, with their weight.  Pairs
-    of items are not moved at all.  Two masks of the other containers tell
-    most pairs that share no more; for the rest the lists are compared.  Pairs
+    of items are not moved at all.  Masks of the other containers tell what
+    most pairs share besides; for the rest the lists are compared.  Pairs
     of containers with more than ``tile`` items are split into tiles as in
     ``pair_counts``; items of more than ``most`` containers meet the others
     by counting.
@@ -61,10 +61,14 @@ def coupled(rows: DataFrame, container: str, item: str, tile: int = SIDE, most:
     lists = cut(d.join(cut(number), "c").groupBy("i").agg(F.sort_array(F.collect_set("w")).alias("ws")).filter(F.size("ws") > 1))
     met = lists.filter(F.size("ws") <= most).select("i", "ws", F.posexplode("ws").alias("p", "w1")).select("i", "ws", "w1", F.explode(F.slice("ws", F.col("p") + 2, F.size("ws"))).alias("w2"))
     rest = F.filter("ws", lambda w: (w != F.col("w1")) & (w != F.col("w2")))
-    bit = lambda half: lambda m, w: m.bitwiseOR(F.when(w.bitwiseAND(F.lit(64)) == 64 * half, F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")))
+    none = F.lit(0).cast("long")
+    at_bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    # The 64 works cited most have exact bits (m0), all others share those of m1 and m2.
+    part = lambda w: F.when(w < 64, 0).when(w.bitwiseAND(F.lit(64)) == 0, 1).otherwise(2)
+    bits = lambda m: F.aggregate("o", none, lambda a, w: a.bitwiseOR(F.when(part(w) == m, at_bit(w)).otherwise(none)))
     met = met.withColumn("o", rest)
     hot = cut(met.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("w1", "w2", F.ceil(F.col("n") / tile).alias("tiles")))  # of all rows one in ``tile`` at most
-    met = met.select("w1", "w2", F.struct("i", *[F.aggregate("o", F.lit(0).cast("long"), bit(h)).alias(f"m{h}") for h in (0, 1)], "o").alias("x"))
+    met = met.select("w1", "w2", F.struct("i", *[bits(m).alias(f"m{m}") for m in (0, 1, 2)], "o").alias("x"))
     few = met.join(F.broadcast(hot), ["w1", "w2"], "left_anti").groupBy("w1", "w2").agg(F.sort_array(F.collect_list("x")).alias("a")).filter(F.size("a") > 1)
     many = met.join(F.broadcast(hot), ["w1", "w2"]).withColumn("t", F.pmod(F.xxhash64("x.i"), F.col("tiles")))
     many = many.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
@@ -75,17 +79,21 @@ def coupled(rows: DataFrame, container: str, item: str, tile: int = SIDE, most:
     same = F.col("y") == F.col("z")
     tiles = tiles.select("w1", "w2", same.alias("one"), "a", F.when(same, F.col("a")).otherwise(F.col("b")).alias("b"))
     both = few.select("w1", "w2", F.lit(True).alias("one"), "a", F.col("a").alias("b")).unionByName(tiles)
-    flat = both.select("w2", "one", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "ab" for f in ("i", "m0", "m1", "o")])
+    flat = both.select("w2", "one", *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "ab" for f in ("i", "m0", "m1", "m2", "o")])
     first = flat.select("*", F.posexplode("a_i").alias("p", "u"))
     start = F.when(F.col("one"), F.col("p") + 1).otherwise(0)
     at = F.when(start < F.size("b_i"), F.sequence(start, F.size("b_i") - 1))
     two = first.select(*first.columns, F.explode(at).alias("q"))
     left, right = (lambda f: F.get(f"a_{f}", F.col("p"))), (lambda f: F.get(f"b_{f}", F.col("q")))
-    apart = left("m0").bitwiseAND(right("m0")).bitwiseOR(left("m1").bitwiseAND(right("m1"))) == 0
+    known = left("m0").bitwiseAND(right("m0"))
+    apart = left("m1").bitwiseAND(right("m1")).bitwiseOR(left("m2").bitwiseAND(right("m2"))) == 0
+    every = F.lit(-1).cast("long")
+    low = F.when(F.col("w2") < 64, F.bitwise_not(F.call_function("shiftleft", every, F.col("w2").cast("int")))).otherwise(every)
     more = F.when(apart, F.array().cast("array<bigint>")).otherwise(F.array_intersect(left("o"), right("o")))
-    ends = two.select("w2", F.col("u"), right("i").alias("v"), F.explode(F.array(more)).alias("more"))  # exploded, so that it is found once
-    near = ends.filter(F.coalesce(F.array_min("more") > F.col("w2"), F.lit(True)))
-    got = near.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), (F.size("more") + 2).cast("long").alias("weight"))
+    near = two.filter(known.bitwiseAND(low) == 0)  # else they meet in an earlier pair of works
+    ends = near.select("w2", "u", right("i").alias("v"), F.when(apart, F.bit_count(known)).alias("n"), F.explode(F.array(more)).alias("more"))  # exploded, so that it is found once
+    ends = ends.filter(F.coalesce(F.array_min("more") > F.col("w2"), F.lit(True)))
+    got = ends.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), (F.coalesce("n", F.size("more")) + 2).cast("long").alias("weight"))
     one = lists.select("i", (F.size("ws") > most).alias("long"), F.explode("ws").alias("w"))
     wide = one.filter("long").select("w", F.col("i").alias("u")).join(one.select("w", F.col("i").alias("v"), "long"), "w").filter("u < v or (u > v and not long)")
     wide = wide.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(F.count("*").alias("weight")).filter("weight > 1")
