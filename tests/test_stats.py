@@ -107,6 +107,31 @@ def test_lda_sweeps_all_sizes(spark, sf):
     assert len(best[0]["topics"]) == best[0]["k"] and all(r["topics"] is None for r in got.values() if not r["best"])
 
 
+def test_lda_finds_planted_topics_and_passes_serve_all_models(spark):
+    rng = np.random.default_rng(4)
+    own = [[f"{t}word{j}" for j in range(12)] for t in "abcd"]
+    rows = [(i, [str(w) for w in rng.choice(own[i % 4], 20)] + ["only" if i else "once"]) for i in range(200)]
+    lists = spark.createDataFrame(rows, "id long, words array<string>").cache()
+    sc = spark.sparkContext
+    sc.setJobGroup("lda", "")
+    scores, words = topics.lda_sweep(lists, range(3, 9), max_df=0.5)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("lda"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    got = {r["k"]: r["coherence"] for r in scores.collect()}
+    assert sorted(got) == [3, 4, 5, 6, 7, 8] and jobs < 80  # a pass of its own for each model took 150 and more
+    fitted = topics._lda(topics._bags(lists, [w for o in own for w in o]), 48, [4], 20, 42)[4]
+    assert all(len({int(i) // 12 for i in np.argsort(-t)[:3]}) == 1 for t in fitted)
+    assert words.count() == max(got, key=lambda k: (got[k], -k))
+
+
+def test_window_counts_by_hand(spark):
+    rows = [(0, "a b c d a e".split()), (1, ["a", "e"]), (2, ["x"])]
+    total, both = topics.window_counts(spark.createDataFrame(rows, "id long, words array<string>"), ["a", "b", "e"], 3)
+    windows = [w for _, t in rows for w in ({*t[s : s + 3]} for s in range(max(len(t) - 2, 1)))]
+    assert total == len(windows) == 6
+    assert all(both[i, j] == sum(x in w and y in w for w in windows) for i, x in enumerate("abe") for j, y in enumerate("abe"))
+
+
 def test_median_split_and_ranks(spark):
     d = spark.createDataFrame([(i, float(i), float(-i)) for i in range(4)], "k int, a double, b double")
     q = {r["k"]: r["quadrant"] for r in stats.median_split(d, "a", "b").collect()}
